@@ -85,42 +85,43 @@ def header_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple
 
 
 def recovered_trip(line: Column, sep: str = ",") -> Column:
-    """Read a row of the wrong width from its tokens, or null.
+    """Read a row of the wrong width from its tokens: an array of one trip, or null.
 
-    Minutes are the first decimal number, the clocks are the two timestamps behind it, the
+    Minutes are the first decimal number, the clocks are the next two timestamps behind it, the
     stations are the two largest whole numbers behind the second clock, in row order.
     """
-    splitter = "[,;]" if sep == ";" else ","
-    raw = F.split(F.regexp_replace(line, '"', ""), splitter)
-    tokens = F.filter(F.transform(raw, lambda x: F.trim(x)), lambda x: x != "")
-    indexed = F.transform(tokens, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    minutes = F.get(F.filter(indexed, lambda t: t["x"].rlike(r"^\d+\.\d+$")), 0)
-    stamps = F.filter(indexed, lambda t: t["x"].rlike(_ISO_CLOCK) & (t["i"] > minutes["i"]))
-    unlock, lock = F.get(stamps, 0), F.get(stamps, 1)
-    numbers = F.filter(indexed, lambda t: t["x"].rlike(r"^\d+$") & (t["i"] > lock["i"]))
+    mark = "\u0001"
+    token = f"[^{mark}]*"
+    stamp = f"({token}{_ISO_CLOCK}{token})"
+    skip = f"(?:.*?{mark})??"
+    row = f"^({skip}(\\d+\\.\\d+){mark}{skip}){stamp}{mark}{skip}{stamp}{mark}(.*)$"
+    border = "[,;]" if sep == ";" else ","
+    text = F.regexp_replace(F.regexp_replace(line, '"', ""), rf"\s*{border}(\s*{border})*\s*", mark)
+    text = F.regexp_replace(F.trim(text), f"^{mark}|{mark}$", "")
+
+    def part(group: int) -> Column:
+        return F.regexp_extract(text, row, group)
+
+    numbers = F.regexp_extract_all(part(5), F.lit(f"(?<![^{mark}])(\\d+)(?![^{mark}])"), F.lit(1))
     by_size = F.array_sort(
-        F.transform(
-            numbers, lambda t: F.struct((-t["x"].try_cast("bigint")).alias("n"), t["i"], t["x"])
-        )
+        F.transform(numbers, lambda x, i: F.struct((-x.try_cast("bigint")).alias("n"), i.alias("i"), x.alias("x")))
     )
     first, second = F.get(by_size, 0)["x"], F.get(by_size, 1)["x"]
+    tokens = F.split(text, mark)
     in_order = F.array_position(tokens, first) <= F.array_position(tokens, second)
-    named = F.get(
-        F.filter(
-            indexed, lambda t: t["x"].rlike("[A-Za-z]") & (t["i"] >= 1) & (t["i"] < unlock["i"])
-        ),
-        0,
-    )
-    usable = (F.size(tokens) >= 6) & second.isNotNull()
+    named = F.regexp_extract(part(1), f"^{token}{mark}{skip}({token}[A-Za-z]{token}){mark}", 1)
+    usable = (F.size(tokens) >= 6) & (F.size(numbers) >= 2)
     return F.when(
         usable,
-        F.struct(
-            unlock["x"].alias("unlockdate"),
-            lock["x"].alias("lockdate"),
-            F.when(in_order, first).otherwise(second).alias("stationunlock"),
-            F.when(in_order, second).otherwise(first).alias("stationlock"),
-            minutes["x"].alias("tripminutes"),
-            F.coalesce(named["x"], F.lit("fallback-trip")).alias("idtrip"),
+        F.array(
+            F.struct(
+                part(3).alias("unlockdate"),
+                part(4).alias("lockdate"),
+                F.when(in_order, first).otherwise(second).alias("stationunlock"),
+                F.when(in_order, second).otherwise(first).alias("stationlock"),
+                part(2).alias("tripminutes"),
+                F.when(named != "", named).otherwise("fallback-trip").alias("idtrip"),
+            )
         ),
     )
 
@@ -132,7 +133,7 @@ def read_flexible_trips(spark: SparkSession, paths: str | Sequence[str]) -> Data
     """(file, recovered, six text fields) of files whose headers and rows vary.
 
     Rows as wide as their header are read by name. Rows of another width, and all rows of files
-    without a usable header, go through `recovered_trip`; unreadable ones keep null fields.
+    without a usable header, go through `recovered_trip`; rows it cannot read are left out.
     """
     parts = []
     known: list[str] = []
@@ -150,26 +151,34 @@ def read_flexible_trips(spark: SparkSession, paths: str | Sequence[str]) -> Data
             .option("columnPruning", False)
             .csv(files)
         )
-        fixed = recovered_trip(F.col("_corrupt"), sep)
+        if "idtrip" not in fields and "idbike" in fields:
+            rows = rows.withColumnRenamed("idbike", "idtrip")
+            fields[fields.index("idbike")] = "idtrip"
         bad = F.col("_corrupt").isNotNull()
-        picked = [
-            F.when(bad, fixed[n]).otherwise(
-                F.col(n) if n in fields else F.col("idbike") if n == "idtrip" and "idbike" in fields else F.lit(None)
-            ).alias(n)
-            for n in _FLEXIBLE
-        ]
+        by_name = F.array(
+            F.struct(
+                *[
+                    (F.col(n) if n in fields else F.lit(None).cast("string")).alias(n)
+                    for n in _FLEXIBLE
+                ]
+            )
+        )
+        # Inlining an array computes each trip once, whatever is built on its fields later.
         parts.append(
-            rows.select(F.col("_metadata.file_path").alias("file"), bad.alias("recovered"), *picked)
+            rows.select(
+                F.col("_metadata.file_path").alias("file"),
+                bad.alias("recovered"),
+                F.inline(F.when(bad, recovered_trip(F.col("_corrupt"), sep)).otherwise(by_name)),
+            )
         )
-    loose = spark.read.text(paths).select(F.col("_metadata.file_path").alias("file"), "value")
-    if known:
-        loose = loose.where(~F.col("file").isin(known))
-    fixed = recovered_trip(F.col("value"), ",")
-    parts.append(
-        loose.where(fixed.isNotNull()).select(
-            "file", F.lit(True).alias("recovered"), *[fixed[n].alias(n) for n in _FLEXIBLE]
+    headless = sorted(set(spark.read.text(paths).inputFiles()) - set(known))
+    if headless:
+        lines = spark.read.text(headless).select(F.col("_metadata.file_path").alias("file"), "value")
+        parts.append(
+            lines.select(
+                "file", F.lit(True).alias("recovered"), F.inline(recovered_trip(F.col("value"), ","))
+            )
         )
-    )
     result = parts[0]
     for part in parts[1:]:
         result = result.unionByName(part)

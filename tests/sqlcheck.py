@@ -29,7 +29,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 
 
 def _cell(x):
-    if x is None or (isinstance(x, float) and math.isnan(x)) or x is pd.NaT:
+    if x is None or (isinstance(x, float) and math.isnan(x)) or x is pd.NaT or x is pd.NA:
         return None
     if isinstance(x, bool) or type(x).__name__ == "bool_":
         return bool(x)
