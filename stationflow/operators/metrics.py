@@ -133,14 +133,14 @@ def missing_lags(dataset: DataFrame) -> DataFrame:
 
 def label_reconciliation(dataset: DataFrame, predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: predictions joined to their targets and labels that differ beyond tolerance."""
-    joined = dataset.select(*keys, "target_departures").join(
+    joined = dataset.select(*keys, "target_departures", F.lit(True).alias("_row")).join(
         predictions.select(*keys, "y_true"), list(keys), "full_outer"
     )
     both = F.col("target_departures").isNotNull() & F.col("y_true").isNotNull()
     apart = F.abs(F.col("target_departures") - F.col("y_true")) > LABEL_TOLERANCE
     return joined.agg(
         F.count_if(both).alias("matched_rows"),
-        F.count_if(F.col("target_departures").isNull()).alias("unknown_prediction_keys"),
+        F.count_if(F.col("_row").isNull()).alias("unknown_prediction_keys"),
         F.count_if(both & apart).alias("label_mismatches"),
     )
 
