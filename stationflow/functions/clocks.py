@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UTC_TEXT = "yyyy-MM-dd'T'HH:mm:ss'Z'"
@@ -30,46 +31,69 @@ def has_offset(text: Column) -> Column:
     return F.trim(text).rlike(r"\d[ T]\d.*" + _OFFSET_SUFFIX)
 
 
-def _resolution(wall: Column, tz: str | Column) -> tuple[Column, Column, Column]:
-    """(first UTC reading, is a skipped clock, is a later second reading possible)."""
-    zone = _zone(tz)
+def strict_utc(text: Column, tz: str | Column) -> Column:
+    """Local text to UTC; clocks that occur twice or never, and unreadable text, become null.
+
+    For whole tables prefer `with_strict_utc`, which evaluates each step once.
+    """
+    wall, zone = _wall_clock(text), _zone(tz)
     utc = F.to_utc_timestamp(wall, zone)
-    gap = F.from_utc_timestamp(utc, zone) != wall
-    later = F.from_utc_timestamp(_shift(utc, 1), zone) == wall
-    return utc, gap, later
+    return _strict(has_offset(text), wall, utc, zone)
 
 
-def strict_utc(text: Column, tz: str | Column) -> Column:
-    """Local text to UTC; clocks that occur twice or never, and unreadable text, become null."""
-    wall = _wall_clock(text)
-    utc, gap, later = _resolution(wall, tz)
-    earlier = F.from_utc_timestamp(_shift(utc, -1), _zone(tz)) == wall
-    return F.when(has_offset(text), wall).when(~(gap | later | earlier), utc)
-
-
-def lenient_utc(text: Column, tz: str | Column) -> Column:
-    """Local text to struct(instant, resolution): repeated clocks take standard time,
-    skipped clocks move forward by the gap."""
-    wall = _wall_clock(text)
-    utc, gap, later = _resolution(wall, tz)
-    earlier = F.from_utc_timestamp(_shift(utc, -1), _zone(tz)) == wall
-    aware = has_offset(text)
-    blank = text.isNull() | (text == "")
-    tag = (
-        F.when(blank, "missing")
-        .when(wall.isNull(), "invalid")
-        .when(aware, "already_timezone_aware")
-        .when(gap, "nonexistent_shifted_forward")
-        .when(later | earlier, "ambiguous_standard_time")
-        .otherwise("normal_local_time")
+def _strict(aware: Column, wall: Column, utc: Column, zone: Column) -> Column:
+    # `to_utc_timestamp` takes the first of two readings, so only a later one must be excluded.
+    exact = (F.from_utc_timestamp(utc, zone) == wall) & (
+        F.from_utc_timestamp(_shift(utc, 1), zone) != wall
     )
-    instant = (
-        F.when(blank | wall.isNull(), F.lit(None).cast("timestamp"))
-        .when(aware, wall)
-        .when(~gap & later, _shift(utc, 1))
-        .otherwise(utc)
-    )
-    return F.struct(instant.alias("instant"), tag.alias("resolution"))
+    return F.when(aware, wall).when(exact, utc)
+
+
+def with_strict_utc(df: DataFrame, columns: Mapping[str, str], tz: str | Column) -> DataFrame:
+    """Add {instant column: text column} by the strict rule.
+
+    The steps are projections of their own: the optimizer keeps them apart because later steps
+    read them more than once, so the text is parsed and converted a single time per row.
+    """
+    zone = _zone(tz)
+    walls = {f"_wall_{n}": _wall_clock(F.col(text)) for n, text in columns.items()}
+    readings = {f"_utc_{n}": F.to_utc_timestamp(F.col(f"_wall_{n}"), zone) for n in columns}
+    instants = {
+        n: _strict(has_offset(F.col(text)), F.col(f"_wall_{n}"), F.col(f"_utc_{n}"), zone)
+        for n, text in columns.items()
+    }
+    staged = df.withColumns(walls).withColumns(readings).withColumns(instants)
+    return staged.drop(*walls, *readings)
+
+
+def with_lenient_utc(df: DataFrame, columns: Mapping[str, str], tz: str | Column) -> DataFrame:
+    """Add {name: text column} as `name` and `name_resolution` by the lenient rule: repeated
+    clocks take standard time, skipped clocks move forward by the gap. Staged like the strict one."""
+    zone = _zone(tz)
+    walls = {f"_wall_{n}": _wall_clock(F.col(text)) for n, text in columns.items()}
+    readings = {f"_utc_{n}": F.to_utc_timestamp(F.col(f"_wall_{n}"), zone) for n in columns}
+    added: dict[str, Column] = {}
+    for n, text in columns.items():
+        wall, utc, raw = F.col(f"_wall_{n}"), F.col(f"_utc_{n}"), F.col(text)
+        blank = raw.isNull() | (raw == "")
+        gap = F.from_utc_timestamp(utc, zone) != wall
+        later = F.from_utc_timestamp(_shift(utc, 1), zone) == wall
+        added[f"{n}_resolution"] = (
+            F.when(blank, "missing")
+            .when(wall.isNull(), "invalid")
+            .when(has_offset(raw), "already_timezone_aware")
+            .when(gap, "nonexistent_shifted_forward")
+            .when(later, "ambiguous_standard_time")
+            .otherwise("normal_local_time")
+        )
+    staged = df.withColumns(walls).withColumns(readings).withColumns(added)
+    instants = {
+        n: F.when(F.col(f"{n}_resolution") == "already_timezone_aware", F.col(f"_wall_{n}"))
+        .when(F.col(f"{n}_resolution") == "ambiguous_standard_time", _shift(F.col(f"_utc_{n}"), 1))
+        .otherwise(F.col(f"_utc_{n}"))
+        for n in columns
+    }
+    return staged.withColumns(instants).drop(*walls, *readings)
 
 
 def hour_floor(t: Column) -> Column:

@@ -139,25 +139,31 @@ def quality_report(df: DataFrame, timestamp: str | None = None, demand: str | No
     return counted.withColumn("status", status).drop("rows")
 
 
-def content_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def content_digest(
+    df: DataFrame, columns: Sequence[str], also: Mapping[str, Column] | None = None
+) -> DataFrame:
     """(rows, digest): SHA-256 identity of a table that does not depend on row order.
 
+    `also` names further aggregates to compute in the same pass.
+
     Every row is hashed, the eight 32-bit words of the hashes are added up, and the sums are
     hashed once more. Only eight numbers per task travel, and no sort takes place.
     """
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    hashed = df.select(F.sha2(text, 256).alias("_h"))
+    also = dict(also or {})
+    hashed = df.withColumn("_h", F.sha2(text, 256))
     words = [
         F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"_w{i}")
         for i in range(8)
     ]
-    sums = hashed.agg(F.count(F.lit(1)).alias("rows"), *words)
+    extra = [c.alias(n) for n, c in also.items()]
+    sums = hashed.agg(F.count(F.lit(1)).alias("rows"), *words, *extra)
     joined = F.concat_ws(
         "|",
         F.col("rows").cast("string"),
         *[F.coalesce(F.col(f"_w{i}").cast("string"), F.lit("0")) for i in range(8)],
     )
-    return sums.select("rows", F.sha2(joined, 256).alias("digest"))
+    return sums.select("rows", F.sha2(joined, 256).alias("digest"), *also)
 
 
 def _sided(df: DataFrame, keys: Sequence[str], fields: Sequence[str], side: str) -> DataFrame:
@@ -214,6 +220,30 @@ def aggregate_difference(
     return total.where(differs)
 
 
+def difference_summary(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str]
+) -> DataFrame:
+    """One row: rows and totals of the left table and the number of keys that disagree.
+
+    Both tables are read once and meet in a single aggregation.
+    """
+    a = left.select(*keys, *values, *[F.lit(0).alias(f"_r_{v}") for v in values], F.lit(1).alias("_l"))
+    b = right.select(
+        *keys, *[F.lit(0).alias(v) for v in values], *[F.col(v).alias(f"_r_{v}") for v in values],
+        F.lit(0).alias("_l"),
+    )
+    sums = [F.sum(c).alias(c) for c in (*values, *[f"_r_{v}" for v in values], "_l")]
+    per_key = a.unionByName(b).groupBy(*keys).agg(*sums)
+    differs = F.lit(False)
+    for v in values:
+        differs = differs | (F.col(v) != F.col(f"_r_{v}"))
+    return per_key.agg(
+        F.sum("_l").alias("left_rows"),
+        *[F.sum(v).alias(f"left_{v}") for v in values],
+        F.count_if(differs).alias("mismatching_keys"),
+    )
+
+
 def is_subset(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row: how many distinct left keys the right side lacks, and whether none is missing."""
     missing = left.select(*keys).join(right.select(*keys), list(keys), "left_anti").distinct()

@@ -44,16 +44,15 @@ def with_exact_offsets(
 def dense_panel(demand: DataFrame, stations: DataFrame) -> DataFrame:
     """Every cohort station in every hour the network recorded a departure; absent counts are 0.
 
-    The only zero-filling step. Each station explodes the calendar between the first and last
-    hour and keeps the covered ones, so the panel is built in parallel by station.
+    The only zero-filling step. The covered hours are one array, as long as the calendar; every
+    station explodes it. Stations are dealt out by a fixed number of partitions first, because
+    the short station list alone would be merged into a few tasks before it grows.
     """
-    hours = covered_hours(demand).select("time")
-    first = hours.agg(F.min("time")).scalar()
-    last = hours.agg(F.max("time")).scalar()
-    calendar = F.explode(F.sequence(first, last, F.expr("INTERVAL 1 HOUR")))
-    slots = stations.select("station").distinct().select("station", calendar.alias("time"))
-    covered = slots.join(hours, "time", "left_semi")
-    return covered.join(
+    hours = covered_hours(demand).agg(F.sort_array(F.collect_set("time"))).scalar()
+    tasks = 4 * int(demand.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cohort = stations.select("station").distinct().repartition(tasks, "station")
+    slots = cohort.select("station", F.explode(hours).alias("time"))
+    return slots.join(
         demand.select("time", "station", "departures", "arrivals"), ["time", "station"], "left"
     ).na.fill(0, ["departures", "arrivals"])
 
@@ -115,4 +114,4 @@ def feature_table(panel: DataFrame, horizon: int, tz: str) -> DataFrame:
         (window_sum("_168", "_sum_y", 168) / F.lit(168.0)).alias("mean_7d"),
         window_sum("_24", "_sum_m", 24).alias("movements_24h"),
         *[c.alias(n) for n, c in clocks.target_calendar(target, tz).items()],
-    ).dropna()
+    ).dropna(subset=["y", "recent", "previous", "day", "week", "mean_24h", "mean_7d", "movements_24h"])

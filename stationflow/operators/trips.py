@@ -43,10 +43,9 @@ def resolve_trips(trips: DataFrame, tz: str, stations: str = "integer") -> DataF
     """
     require_columns(trips, TRIP_COLUMNS, "trips")
     check = {"integer": identifiers.positive_station, "opaque": identifiers.opaque_station}[stations]
-    return trips.withColumns(
+    timed = clocks.with_strict_utc(trips, {"started": "started_at", "ended": "ended_at"}, tz)
+    return timed.withColumns(
         {
-            "started": clocks.strict_utc(F.col("started_at"), tz),
-            "ended": clocks.strict_utc(F.col("ended_at"), tz),
             "origin": check(F.col("origin_station")).cast("string"),
             "destination": check(F.col("destination_station")).cast("string"),
         }

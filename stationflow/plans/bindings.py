@@ -10,6 +10,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stationflow.session import spread
+
 ZONE = "Europe/Paris"
 
 
@@ -29,7 +31,7 @@ class Tables:
 
     @cached_property
     def lineitem(self) -> DataFrame:
-        return self.table("lineitem")
+        return spread(self.table("lineitem"), "l_orderkey", "l_linenumber")
 
     @cached_property
     def orders(self) -> DataFrame:

@@ -10,7 +10,7 @@ from stationflow.operators import dataset, features, metrics, models, splits, tr
 from stationflow.plans.bindings import ZONE, Tables, local, with_
 from stationflow.plans.demand_queries import feature_sql
 from stationflow.plans.registry import query, r, ts
-from stationflow.session import shared_dir
+from stationflow.session import shared_dir, spread
 from stationflow.streaming import queries as streams
 
 _LAG_NAMES = [f"demand_lag_{k}h" for k in dataset.LAGS_HOURS]
@@ -497,7 +497,8 @@ def model_split(t: Tables) -> DataFrame:
     panel = features.dense_panel(demand, demand.select("station").distinct())
     path = shared_dir(t.spark, "features")
     features.feature_table(panel, 1, ZONE).write.parquet(path)
-    return splits.fixed_date_split(t.spark.read.parquet(path), 1, "2024-01-20", "2024-01-25")
+    stored = spread(t.spark.read.parquet(path), "station", "target")
+    return splits.fixed_date_split(stored, 1, "2024-01-20", "2024-01-25")
 
 
 def _fit_and_score(t: Tables, kind: str) -> DataFrame:

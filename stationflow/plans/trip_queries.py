@@ -58,7 +58,7 @@ def _(t: Tables):
 def _(t: Tables):
     typed = t.resolved.select(
         F.lit(2024).alias("year"), "started", "ended", "origin", "destination",
-        identifiers.row_hash(*[F.col(c) for c in ("trip_id", "started", "ended", "origin", "destination")])
+        identifiers.row_key(*[F.col(c) for c in ("trip_id", "started", "ended", "origin", "destination")])
         .alias("record_identity"),
     )
     return trips.legacy_station_hours(typed)
@@ -164,16 +164,15 @@ def _(t: Tables):
 )
 def _(t: Tables):
     recount = trips.independent_recount(t.resolved)
-    difference = canonical.aggregate_difference(
+    summary = canonical.difference_summary(
         recount, t.trip_demand, ["time", "station"], ["departures", "arrivals"]
     )
-    mismatches = difference.agg(F.count(F.lit(1))).scalar()
-    totals = recount.agg(
-        F.count(F.lit(1)).alias("station_hours"),
-        F.sum("departures").alias("departures"),
-        F.sum("arrivals").alias("arrivals"),
+    return summary.select(
+        F.col("left_rows").alias("station_hours"),
+        F.col("left_departures").alias("departures"),
+        F.col("left_arrivals").alias("arrivals"),
+        F.col("mismatching_keys").alias("mismatching_station_hours"),
     )
-    return totals.withColumn("mismatching_station_hours", mismatches)
 
 
 @query(
@@ -289,12 +288,11 @@ def _(t: Tables):
     " count(*)::BIGINT AS rows FROM k GROUP BY 1, 2, 3",
 )
 def _(t: Tables):
-    text = _night_clock()
-    parsed = t.lineitem.select(text.alias("text"), clocks.lenient_utc(text, ZONE).alias("c"))
+    parsed = clocks.with_lenient_utc(t.lineitem.select(_night_clock().alias("text")), {"c": "text"}, ZONE)
     return parsed.groupBy(
         F.concat("text", F.lit("Z")).alias("wall"),
-        clocks.utc_text(F.col("c.instant")).alias("utc"),
-        F.col("c.resolution").alias("resolution"),
+        clocks.utc_text(F.col("c")).alias("utc"),
+        F.col("c_resolution").alias("resolution"),
     ).agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_KEY = "spark.checkpoint.dir"
 
@@ -43,3 +43,12 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="stationflow-")
         spark.conf.set(SHARED_DIR_KEY, base)
     return f"{base.rstrip('/')}/stationflow/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out by `keys` when a table offers fewer splits than there are cores.
+
+    Only small inputs are moved; on a cluster a large table has more splits than cores already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df

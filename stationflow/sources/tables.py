@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from stationflow.functions import clocks, identifiers
 from stationflow.operators import profiles
-from stationflow.operators.canonical import DataRuleError, content_digest, duplicate_keys
+from stationflow.operators.canonical import DataRuleError, content_digest
 
 _SCOPE = ("provider_id", "network_id")
 _VERSION_SCHEMA = "provider_id string, network_id string, batch_id string, sequence bigint, published_at timestamp"
@@ -102,34 +102,41 @@ def published_rows(demand: DataFrame, provider: str, network: str) -> DataFrame:
     return profiles.with_measures(rows)
 
 
-def check_publishable(demand: DataFrame) -> int:
-    """Row count of a publishable table; raises on empty, repeated or implausible rows."""
+def check_publishable(demand: DataFrame, provider: str, network: str, source_name: str) -> tuple[int, str]:
+    """(row count, batch id) of a publishable table; raises on empty, repeated or implausible rows.
+
+    The id is a content address: scope, source and the order-free digest of the rows.
+    """
     whole = (F.col("departures") % 1 == 0) & (F.col("arrivals") % 1 == 0)
     fine = (F.col("departures") >= 0) & (F.col("arrivals") >= 0) & whole & F.col("time").isNotNull()
     text = F.col("station").cast("string")
     bad = ~F.coalesce(fine & F.length(text).between(1, 64), F.lit(False))
-    found = demand.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")).first()
-    if not found["n"] or found["bad"]:
-        raise DataRuleError(f"publication needs valid, nonempty rows: {found.asDict()}")
-    if duplicate_keys(demand, ["time", "station"]).first()["duplicate_keys"]:
-        raise DataRuleError("publication needs unique station-hours")
-    return found["n"]
-
-
-def batch_id_of(demand: DataFrame, provider: str, network: str, source_name: str) -> str:
-    """Content address: scope, source and the order-free digest of the rows."""
+    per_key = demand.groupBy("time", "station").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count_if(bad).alias("_bad"),
+        F.max("departures").alias("departures"),
+        F.max("arrivals").alias("arrivals"),
+    )
     digest = content_digest(
-        demand.select("station", clocks.utc_text(F.col("time")).alias("time"), "departures", "arrivals"),
+        per_key.withColumn("time", clocks.utc_text(F.col("time"))),
         ["station", "time", "departures", "arrivals"],
+        also={"total": F.sum("_n"), "bad": F.sum("_bad")},
     )
     scope = F.concat_ws("|", F.lit(provider), F.lit(network), F.lit(source_name), "rows", "digest")
-    return digest.select(F.sha2(scope, 256).alias("id")).first()["id"]
+    found = digest.select("rows", "total", "bad", F.sha2(scope, 256).alias("id")).first()
+    if not found["rows"] or found["bad"]:
+        raise DataRuleError(f"publication needs valid, nonempty rows: {found.asDict()}")
+    if found["total"] != found["rows"]:
+        raise DataRuleError("publication needs unique station-hours")
+    return found["rows"], found["id"]
 
 
 def _append(spark: SparkSession, path: str, schema: str, row: tuple) -> None:
-    fields = [f.split()[0] for f in schema.split(", ")]
-    one = spark.createDataFrame([row], ", ".join(schema.split(", ")[:-1]))
-    one.withColumn(fields[-1], F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+    """Add one log row as one small file."""
+    types = [f.split() for f in schema.split(", ")]
+    values = [F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, types)]
+    stamp = F.current_timestamp().alias(types[-1][0])
+    spark.range(1, numPartitions=1).select(*values, stamp).write.mode("append").parquet(path)
 
 
 def publish(
@@ -137,17 +144,16 @@ def publish(
 ) -> str:
     """Validate, write and activate a batch; returns its id.
 
-    Publishing known content again only switches the pointer back to it. `demand` is evaluated by
-    several checks, so hand over a stored table when it is costly.
+    Publishing known content again only switches the pointer back to it. `demand` is evaluated
+    for the check and for the write, so hand over a stored table when it is costly.
     """
-    expected = check_publishable(demand)
-    batch = batch_id_of(demand, provider, network, source_name)
+    expected, batch = check_publishable(demand, provider, network, source_name)
     known = batches(spark, store).where((F.col("batch_id") == batch) & (F.col("status") == "published"))
     folder = f"{store}/observations/provider_id={provider}/network_id={network}/batch_id={batch}"
     if known.isEmpty():
         _append(spark, f"{store}/batches", _BATCH_SCHEMA, (batch, expected, "loading"))
-        rows = published_rows(demand, provider, network)
-        write_table(rows.repartition("station_id"), folder, sort_by=["station_id", "observed_at"])
+        rows = published_rows(demand, provider, network).hint("rebalance", "station_id")
+        write_table(rows, folder, sort_by=["station_id", "observed_at"])
         written = spark.read.parquet(folder).count()
         if written != expected:
             _append(spark, f"{store}/batches", _BATCH_SCHEMA, (batch, expected, "failed"))

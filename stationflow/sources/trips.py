@@ -187,19 +187,18 @@ def read_flexible_trips(spark: SparkSession, paths: str | Sequence[str]) -> Data
 
 def typed_flexible_trips(rows: DataFrame, year: int, tz: str) -> DataFrame:
     """Typed trips with clock tags; rows without a start or a station are left out."""
-    start = clocks.lenient_utc(F.col("unlockdate"), tz)
-    end = clocks.lenient_utc(F.col("lockdate"), tz)
-    typed = rows.select(
+    timed = clocks.with_lenient_utc(rows, {"started": "unlockdate", "ended": "lockdate"}, tz)
+    typed = timed.select(
         F.lit(year).alias("year"),
         F.col("idtrip").alias("trip_id"),
-        start["instant"].alias("started"),
-        end["instant"].alias("ended"),
+        "started",
+        "ended",
         identifiers.station_without_decimal(F.col("stationunlock")).alias("origin"),
         identifiers.station_without_decimal(F.col("stationlock")).alias("destination"),
         F.col("tripminutes").try_cast("double").alias("duration_minutes"),
         F.col("file").alias("source_member"),
-        start["resolution"].alias("started_at_resolution"),
-        end["resolution"].alias("ended_at_resolution"),
+        F.col("started_resolution").alias("started_at_resolution"),
+        F.col("ended_resolution").alias("ended_at_resolution"),
     )
     return typed.where(
         F.col("started").isNotNull()
@@ -226,7 +225,7 @@ def read_legacy_trips(spark: SparkSession, paths: str | Sequence[str], year: int
     clock = F.coalesce(
         F.get_json_object("unplug_hourTime", "$['$date']"), F.col("unplug_hourTime")
     )
-    start = clocks.lenient_utc(clock, tz)
+    timed = clocks.with_lenient_utc(raw.withColumn("_clock", clock), {"started": "_clock"}, tz)
     ordinal = F.monotonically_increasing_id()
     trip_id = F.coalesce(
         F.nullif(F.col("user_day_code"), F.lit("")),
@@ -234,16 +233,16 @@ def read_legacy_trips(spark: SparkSession, paths: str | Sequence[str], year: int
         F.concat_ws("-", F.lit(year), "file", ordinal),
     )
     return (
-        raw.select(
+        timed.select(
             F.lit(year).alias("year"),
             trip_id.alias("trip_id"),
-            start["instant"].alias("started"),
+            "started",
             F.lit(None).cast("timestamp").alias("ended"),
             identifiers.station_without_decimal(F.col("idunplug_station")).alias("origin"),
             identifiers.station_without_decimal(F.col("idplug_station")).alias("destination"),
             measures.seconds_to_minutes(F.col("travel_time")).alias("duration_minutes"),
             F.col("file").alias("source_member"),
-            start["resolution"].alias("started_at_resolution"),
+            F.col("started_resolution").alias("started_at_resolution"),
             F.lit("unknown_from_hour_rounded_start").alias("ended_at_resolution"),
             F.concat_ws(":", "file", trip_id, ordinal).alias("record_identity"),
         )

@@ -26,6 +26,13 @@ def test_strict_clock_rejects_repeated_and_skipped_times(spark):
     assert got == [None, None, "2022-07-01T10:00:00Z", "2022-03-27T01:00:00Z", None, None, None]
 
 
+def test_staged_and_plain_strict_clocks_agree(spark):
+    data = ["2022-10-30T02:30", "2022-03-27T02:30", "2022-07-01T12:00", "2022-07-01T12:00:00+02:00", "bad", None]
+    df = clocks.with_strict_utc(column(spark, data), {"a": "x"}, ZONE).withColumn("b", clocks.strict_utc(F.col("x"), ZONE))
+    assert df.columns == ["x", "a", "b"]
+    assert df.where(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+
+
 def test_strict_clock_with_offset_is_an_instant(spark):
     got = values(
         spark,
@@ -37,8 +44,8 @@ def test_strict_clock_with_offset_is_an_instant(spark):
 
 def test_lenient_clock_tags_every_resolution(spark):
     data = ["2022-01-01 12:00:00", "2022-10-30 02:21:53", "2022-03-27 02:21:53", "garbage", "2022-01-01T12:00:00+02:00", "", None]
-    df = column(spark, data).select(clocks.lenient_utc(F.col("x"), ZONE).alias("c"), "x")
-    got = {r["x"]: (r["t"], r["g"]) for r in df.select("x", clocks.utc_text(F.col("c.instant")).alias("t"), F.col("c.resolution").alias("g")).collect()}
+    df = clocks.with_lenient_utc(column(spark, data), {"c": "x"}, ZONE)
+    got = {r["x"]: (r["t"], r["g"]) for r in df.select("x", clocks.utc_text(F.col("c")).alias("t"), F.col("c_resolution").alias("g")).collect()}
     assert got["2022-01-01 12:00:00"] == ("2022-01-01T11:00:00Z", "normal_local_time")
     assert got["2022-10-30 02:21:53"] == ("2022-10-30T01:21:53Z", "ambiguous_standard_time")
     assert got["2022-03-27 02:21:53"] == ("2022-03-27T01:21:53Z", "nonexistent_shifted_forward")
