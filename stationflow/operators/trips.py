@@ -168,17 +168,22 @@ def ingestion_quality(
 
 
 def independent_recount(resolved: DataFrame) -> DataFrame:
-    """The same counts by another route: two filtered scans in SQL, summed after a union."""
+    """The same counts by another route: each direction is counted by itself in SQL, then merged.
+
+    Validity is counted, not filtered: a filter would be pushed below the clock conversion and
+    repeat it.
+    """
     return resolved.sparkSession.sql(
         """
         SELECT time, station, sum(d) AS departures, sum(a) AS arrivals FROM (
-          SELECT date_trunc('hour', started) AS time, origin AS station, 1L AS d, 0L AS a
-          FROM {trips} WHERE started IS NOT NULL AND origin IS NOT NULL
+          SELECT date_trunc('hour', started) AS time, origin AS station,
+                 count_if(started IS NOT NULL AND origin IS NOT NULL) AS d, 0L AS a
+          FROM {trips} GROUP BY 1, 2 HAVING d > 0
           UNION ALL
-          SELECT date_trunc('hour', ended), destination, 0L, 1L
-          FROM {trips}
-          WHERE ended IS NOT NULL AND destination IS NOT NULL
-            AND (started IS NULL OR ended >= started))
+          SELECT date_trunc('hour', ended), destination, 0L,
+                 count_if(ended IS NOT NULL AND destination IS NOT NULL
+                          AND (started IS NULL OR ended >= started)) AS n
+          FROM {trips} GROUP BY 1, 2 HAVING n > 0)
         GROUP BY time, station
         """,
         trips=resolved,
