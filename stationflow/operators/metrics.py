@@ -164,7 +164,7 @@ def select_model(candidates: DataFrame, tolerance: float = SELECTION_TOLERANCE,
         F.sort_array(F.collect_list("model")).alias("eligible_models"),
     )
     best = F.col("best_validation_mae")
-    return chosen.select(
+    return chosen.where(F.col("selected_model").isNotNull()).select(
         *by,
         "selected_model",
         "best_validation_mae",
@@ -231,7 +231,7 @@ def shared_population(predictions: DataFrame, keys: Sequence[str]) -> DataFrame:
         (F.max("y_true") - F.min("y_true")).alias("_spread"),
     )
     counted = per_key.withColumn("_models", models).agg(
-        F.max("_models").alias("models"),
+        F.coalesce(F.max("_models"), F.lit(0)).alias("models"),
         F.count(F.lit(1)).alias("keys"),
         F.count_if(F.col("_m") < F.col("_models")).alias("incomplete_keys"),
         F.count_if(F.abs("_spread") > LABEL_TOLERANCE).alias("label_conflicts"),

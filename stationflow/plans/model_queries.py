@@ -315,7 +315,7 @@ def _candidates(t: Tables) -> DataFrame:
     " w AS (SELECT arg_min(model, (tier, validation_mae)) AS m, arg_min(validation_mae, (tier, validation_mae)) AS v,"
     " any_value(best) AS best, string_agg(model, ',' ORDER BY model) AS names FROM e)"
     f" SELECT m AS selected_model, {r('best')} AS best_validation_mae, {r('best * 1.25::DOUBLE')} AS maximum_eligible_mae,"
-    f" names AS eligible_models, {r('(v / best - 1) * 100')} AS selected_validation_penalty_pct FROM w",
+    f" names AS eligible_models, {r('(v / best - 1) * 100')} AS selected_validation_penalty_pct FROM w WHERE m IS NOT NULL",
 )
 def _(t: Tables):
     return metrics.select_model(_candidates(t), tolerance=0.25)
@@ -385,9 +385,11 @@ def _(t: Tables):
     "shared_population",
     "E39 D11 H3",
     _PREDICTED
-    + ", k AS (SELECT station, target, count(DISTINCT model) AS m FROM long WHERE NOT (model = 'mean' AND p < 0)"
-    " GROUP BY 1, 2) SELECT 3::BIGINT AS models, count(*) AS keys, count_if(m < 3)::BIGINT AS incomplete_keys,"
-    " 0::BIGINT AS label_conflicts, count_if(m < 3) = 0 AS common_keys_and_labels_equal FROM k",
+    + ", kept AS (SELECT * FROM long WHERE NOT (model = 'mean' AND p < 0)), k AS (SELECT station, target,"
+    " count(DISTINCT model) AS m FROM kept GROUP BY 1, 2), n AS (SELECT count(DISTINCT model) AS models FROM kept)"
+    " SELECT any_value(models) AS models, count(m) AS keys, coalesce(count_if(m < models), 0)::BIGINT AS"
+    " incomplete_keys, 0::BIGINT AS label_conflicts, coalesce(count_if(m < models), 0) = 0 AS"
+    " common_keys_and_labels_equal FROM n LEFT JOIN k ON true",
 )
 def _(t: Tables):
     rows = _prediction_table(t).where(~((F.col("model") == "mean") & (F.col("y_pred") < 0)))
@@ -408,8 +410,14 @@ def _(t: Tables):
 @query(
     "run_comparison",
     "E46 E30",
-    "SELECT * FROM (VALUES ('day', true, true, 'PASS'), ('mean', false, false, 'BLOCKED'),"
-    " ('recent', true, true, 'PASS')) v(model, metrics_equal, predictions_equal, status)",
+    _PREDICTED
+    + ", two AS (SELECT model, y, p AS a, CASE WHEN model = 'mean' THEN p + 0.01::DOUBLE ELSE p END AS b FROM long),"
+    " c AS (SELECT model, abs(avg(abs(y - a)) - avg(abs(y - b))) <= 1e-9 AND"
+    " abs(sqrt(avg((y - a) ** 2)) - sqrt(avg((y - b) ** 2))) <= 1e-9 AND"
+    " abs(sum((y - a) ** 2) - sum((y - b) ** 2)) / (var_pop(y) * count(*)) <= 1e-9 AS near,"
+    " count_if(a <> b) = 0 AS same FROM two GROUP BY 1)"
+    " SELECT model, near AS metrics_equal, same AS predictions_equal,"
+    " CASE WHEN near AND same THEN 'PASS' ELSE 'BLOCKED' END AS status FROM c",
 )
 def _(t: Tables):
     first = _prediction_table(t)
