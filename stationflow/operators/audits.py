@@ -109,8 +109,7 @@ def delta_statistics(demand: DataFrame, time: str = "time", keys: Sequence[str]
     )
     if keys:
         return stats.join(median, keys, "left")
-    one = F.lit(1).alias("_one")
-    return stats.select("*", one).join(median.select("*", one), "_one", "left").drop("_one")
+    return sequences.attach_row(stats, median)
 
 
 def horizon_support(
@@ -238,5 +237,4 @@ def snapshot_coverage(snapshots: DataFrame, station: str = "station", period: st
     months = snapshots.select(period).distinct().agg(
         F.sort_array(F.collect_set(period)).alias("periods")
     )
-    one = F.lit(1).alias("_one")
-    return totals.select("*", one).join(months.select("*", one), "_one").drop("_one")
+    return sequences.attach_row(totals, months)

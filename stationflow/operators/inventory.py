@@ -183,16 +183,18 @@ def gap_statistics(samples: DataFrame, limit_minutes: float = 90.0) -> DataFrame
     gaps = sequences.gap_minutes(samples.select("station", "time"), "station", "time").where(
         F.col("gap_minutes").isNotNull()
     )
-    counts = gaps.agg(
-        F.count(F.lit(1)).alias("gaps"),
-        F.max("gap_minutes").alias("max_gap"),
-        F.count_if(F.col("gap_minutes") > limit_minutes).alias("over_limit"),
+    n, v = F.col("_n"), F.col("_v")
+    return sequences.exact_quantiles(
+        gaps,
+        "gap_minutes",
+        {"median_gap": 0.5, "p95_gap": 0.95},
+        width=60.0,
+        also={
+            "gaps": F.coalesce(F.sum(n), F.lit(0)),
+            "max_gap": F.max(v),
+            "over_limit": F.coalesce(F.sum(F.when(v > limit_minutes, n)), F.lit(0)),
+        },
     )
-    quantiles = sequences.exact_quantiles(
-        gaps, "gap_minutes", {"median_gap": 0.5, "p95_gap": 0.95}, width=60.0
-    )
-    one = F.lit(1).alias("_one")
-    return counts.select("*", one).join(quantiles.select("*", one), "_one", "left").drop("_one")
 
 
 def valid_states(unique: DataFrame) -> DataFrame:

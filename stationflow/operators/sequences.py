@@ -8,7 +8,7 @@ value range, never as long as the data.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,9 +69,12 @@ def exact_quantiles(
     probabilities: dict[str, float],
     keys: Sequence[str] = (),
     width: float = 60.0,
+    also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of a numeric column, one row per key.
 
+    `also` names further aggregates over the value counts: columns `_v` (value) and `_n` (rows).
+
     Equal values are counted first (combined before the shuffle), then ranked inside value
     ranges of `width`; the built-in `percentile` would hold every distinct value of a key in
     one buffer.
@@ -105,13 +108,21 @@ def exact_quantiles(
         for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             here = (F.col("_start") <= rank) & (rank < F.col("_end"))
             picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{label}_{side}"))
-    picked = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+    also = dict(also or {})
+    extra = [c.alias(n) for n, c in also.items()]
+    picked = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks, *extra)
     result = []
     for label, p in probabilities.items():
         at = F.lit(p) * (F.col("_total") - 1)
         low, high = F.col(f"_{label}_lo"), F.col(f"_{label}_hi")
         result.append((low + (high - low) * (at - F.floor(at))).alias(label))
-    return picked.select(*keys, *result)
+    return picked.select(*keys, *result, *also)
+
+
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table as a scalar subquery; nulls when it is empty."""
+    value = row.select(F.struct(*row.columns)).scalar()
+    return df.withColumn("_row", value).select(*df.columns, "_row.*")
 
 
 def row_offset_lags(
@@ -227,8 +238,7 @@ def run_summary(runs: DataFrame, span_bucket_minutes: float = 60.0) -> DataFrame
     median = exact_quantiles(
         runs, "span_minutes", {"median_span_minutes": 0.5}, width=span_bucket_minutes
     )
-    one = F.lit(1).alias("_one")
-    return totals.select("*", one).join(median.select("*", one), "_one", "left").drop("_one")
+    return attach_row(totals, median)
 
 
 def longest_runs(runs: DataFrame, k: int = 10, key: str = "station") -> DataFrame:

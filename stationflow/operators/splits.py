@@ -70,25 +70,22 @@ def split_by_boundaries(
     rows whose target lies behind the end of their split."""
     if boundaries is None:
         boundaries = split_boundaries(dataset, feature_time)
-    ends = boundaries.select("train_end", "validation_start", "validation_end", "test_end")
-    end = {c: ends.select(c).scalar() for c in ends.columns}
+    names = ("train_end", "validation_start", "validation_end", "test_end")
+    # One subquery for all four instants, so the distinct times are ranked once.
+    cut = boundaries.select(F.struct(*names)).scalar()
     t = F.col(feature_time)
-    labelled = dataset.withColumns({f"_{name}": value for name, value in end.items()})
     split = (
-        F.when(t <= F.col("_train_end"), "train")
-        .when(t.between(F.col("_validation_start"), F.col("_validation_end")), "validation")
+        F.when(t <= F.col("_cut.train_end"), "train")
+        .when(t.between(F.col("_cut.validation_start"), F.col("_cut.validation_end")), "validation")
         .otherwise("test")
     )
     limit = (
-        F.when(F.col("split") == "train", F.col("_train_end"))
-        .when(F.col("split") == "validation", F.col("_validation_end"))
-        .otherwise(F.col("_test_end"))
-    )
-    return (
-        labelled.withColumn("split", split)
-        .where(F.col(target_time) <= limit)
-        .drop(*[f"_{name}" for name in end])
+        F.when(F.col("split") == "train", F.col("_cut.train_end"))
+        .when(F.col("split") == "validation", F.col("_cut.validation_end"))
+        .otherwise(F.col("_cut.test_end"))
     )
+    labelled = dataset.withColumn("_cut", cut).withColumn("split", split)
+    return labelled.where(F.col(target_time) <= limit).drop("_cut")
 
 
 def fixed_date_split(
