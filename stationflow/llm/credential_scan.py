@@ -5,7 +5,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import tiktoken
@@ -83,10 +83,9 @@ def random_spans(text: str, base: list[Span], tokens: Callable[[str], int], rati
     return found
 
 
-def _scan(part: pa.RecordBatch, vocabulary: str, ratio: float) -> pa.RecordBatch:
-    column = part.column(TEXT)
+def _found(column: pa.Array, vocabulary: str, ratio: float) -> Iterator[tuple[int, str, list[Span], list[Span]]]:
+    """(row, text, base spans, added spans) of each text that may have any."""
     has = [set(rows_matching(column, p).tolist()) for p in (_HAS_ASSIGN, _HAS_ACCESS, _HAS_HEX, _HAS_RUN)]
-    rows: list[tuple] = [(0, 0, 0, "", "")] * part.num_rows
     for i in sorted(set().union(*has)):
         text = column[i].as_py()
         base = base_spans(text, tuple(i in h for h in has[:3]))
@@ -94,6 +93,12 @@ def _scan(part: pa.RecordBatch, vocabulary: str, ratio: float) -> pa.RecordBatch
         if i in has[3]:
             encoding = _encoding(vocabulary)
             more = random_spans(text, base, lambda run: len(encoding.encode_ordinary(run)), ratio)
+        yield i, text, base, more
+
+
+def _scan(part: pa.RecordBatch, vocabulary: str, ratio: float) -> pa.RecordBatch:
+    rows: list[tuple] = [(0, 0, 0, "", "")] * part.num_rows
+    for i, _, base, more in _found(part.column(TEXT), vocabulary, ratio):
         kinds = [k for _, k, _ in base]
         rows[i] = (*(kinds.count(k) for k in range(3)), joined(base, KINDS), joined(base + more, KINDS))
     columns = list(zip(*rows, strict=True))
@@ -104,6 +109,38 @@ def _scan(part: pa.RecordBatch, vocabulary: str, ratio: float) -> pa.RecordBatch
     )
 
 
+def _redact(part: pa.RecordBatch, vocabulary: str, ratio: float, mark: str) -> pa.RecordBatch:
+    texts = part.column(TEXT).to_pylist()
+    for i, text, base, more in _found(part.column(TEXT), vocabulary, ratio):
+        out, done = [], 0
+        for start, _, end in sorted(base + more):
+            if end > done:
+                out += [text[done : max(start, done)], mark if start >= done else ""]
+                done = end
+        texts[i] = "".join(out) + text[done:]
+    return pa.RecordBatch.from_arrays([part.column(ID), pa.array(texts, pa.string())], [ID, TEXT])
+
+
+def _ranks(vocabulary: str | None) -> str:
+    if vocabulary is not None:
+        return vocabulary
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def redacted_records(
+    records: DataFrame,
+    vocabulary: str | None = None,
+    max_chars_per_token: float = MAX_CHARS_PER_TOKEN,
+    mark: str = "[secret]",
+) -> DataFrame:
+    """All source records (`source_record_id`, `raw_text`) with the spans of `find_secrets` replaced by `mark`."""
+    df = source_records(records)
+    fn = functools.partial(_redact, vocabulary=_ranks(vocabulary), ratio=max_chars_per_token, mark=mark)
+    return map_records(df, fn, df.schema)
+
+
 def find_secrets(
     records: DataFrame, vocabulary: str | None = None, max_chars_per_token: float = MAX_CHARS_PER_TOKEN
 ) -> DataFrame:
@@ -120,14 +157,10 @@ def find_secrets(
     `n_hex`, `base_sha256` (of the fixed forms), `spans` (`kind:start:end`, all kinds). A null or empty
     text has no spans; repeated records each get their row; an empty table gives an empty result.
     """
-    if vocabulary is None:
-        import public_tokenizers
-
-        vocabulary = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     df = source_records(records)
     kind = df.schema[ID].dataType.simpleString()
     return map_records(
         df,
-        functools.partial(_scan, vocabulary=vocabulary, ratio=max_chars_per_token),
+        functools.partial(_scan, vocabulary=_ranks(vocabulary), ratio=max_chars_per_token),
         f"id {kind}, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     ).withColumnRenamed("id", ID)

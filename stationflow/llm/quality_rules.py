@@ -7,7 +7,6 @@ import functools
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from stationflow.llm import arrays as A
 from stationflow.llm.records import ID, TEXT, map_records, source_records
@@ -133,6 +132,16 @@ def repetition_report(
     ).withColumnRenamed("id", ID)
 
 
-def keep_good(records: DataFrame, **limits) -> DataFrame:
-    """Ids of the kept records, one row per record."""
-    return repetition_report(records, **limits).where(F.col("kept")).select(ID)
+def _good(part: pa.RecordBatch, **limits) -> pa.RecordBatch:
+    return part.filter(_measure(part, **limits).column("kept"))
+
+
+def good_records(
+    records: DataFrame,
+    ngram_limits: dict[int, float] | None = None,
+    line_limit: float = LINE_LIMIT,
+) -> DataFrame:
+    """The source records that `repetition_report` keeps, as `source_record_id` and `raw_text`, in one pass."""
+    limits = tuple(sorted((ngram_limits or NGRAM_LIMITS).items()))
+    df = source_records(records)
+    return map_records(df, functools.partial(_good, limits=limits, line_limit=line_limit), df.schema)

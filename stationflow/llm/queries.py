@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.llm.credential_scan import find_secrets
+from stationflow.llm.decontamination import find_contamination
 from stationflow.llm.licence_scan import find_licences
 from stationflow.llm.near_duplicates import near_duplicate_groups
+from stationflow.llm.packing import pack_records
 from stationflow.llm.personal_data import find_personal_data
+from stationflow.llm.quality_classifier import fit_quality_model, score_quality
 from stationflow.llm.quality_rules import repetition_report
 from stationflow.llm.records import ID, TEXT
 from stationflow.llm.source_urls import UrlRule, judge_source_urls
@@ -44,11 +47,26 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return as_records(spark.read.parquet(f"{folder}/documents.parquet"))
 
 
+def evaluation_items(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return benchmark.select("item_id", F.col("text").alias("item_text"))
+
+
+def id_crc(column: str) -> Column:
+    """CRC-32 of an id as text; 0 for a null id."""
+    return F.coalesce(F.crc32(F.col(column).cast("string")), F.lit(0))
+
+
 @query("op1_secrets")
 def secrets(spark: SparkSession, folder: str) -> DataFrame:
     return find_secrets(records(spark, folder)).withColumnRenamed(ID, "doc_id")
 
 
+@query("op2_packing")
+def packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_records(records(spark, folder)).withColumnsRenamed({ID: "doc_id", "record_tokens": "doc_tokens"})
+
+
 @query("op3_url_filters")
 def url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return judge_source_urls(spark.read.parquet(f"{folder}/pages.parquet"), URL_RULES)
@@ -59,6 +77,21 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return repetition_report(records(spark, folder)).withColumnRenamed(ID, "doc_id")
 
 
+@query("op5_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    documents = records(spark, folder)
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select(F.col("doc_id").alias(ID), "quality")
+    model = fit_quality_model(documents, labels.where(id_crc(ID) % 3 != 1))
+    return score_quality(documents, model).select(
+        F.col(ID).alias("doc_id"), (id_crc(ID) % 3 == 1).alias("held_out"), "score", "predicted"
+    )
+
+
+@query("op6_decontamination")
+def decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return find_contamination(records(spark, folder), evaluation_items(spark, folder)).withColumnRenamed(ID, "doc_id")
+
+
 @query("op8_near_duplicates")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_groups(records(spark, folder)).withColumnRenamed(ID, "doc_id")

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stationflow.llm.arrays import CHUNK_BYTES, chunks
 
@@ -32,7 +33,7 @@ def _walk(batches: Iterator[pa.RecordBatch], *, fn, limit: int) -> Iterator[pa.R
 def map_records(
     df: DataFrame,
     fn: Callable[[pa.RecordBatch], pa.RecordBatch | None],
-    schema: str,
+    schema: str | StructType,
     limit: int = CHUNK_BYTES,
 ) -> DataFrame:
     """Apply `fn` to batches of about `limit` bytes of whole texts; no text is split."""
