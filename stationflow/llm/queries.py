@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stationflow.llm.credential_scan import find_secrets
 from stationflow.llm.decontamination import find_contamination
+from stationflow.llm.language_model import IN_TRAINING, score_records
 from stationflow.llm.licence_scan import find_licences
 from stationflow.llm.near_duplicates import near_duplicate_groups
 from stationflow.llm.packing import pack_records
@@ -92,6 +93,12 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return find_contamination(records(spark, folder), evaluation_items(spark, folder)).withColumnRenamed(ID, "doc_id")
 
 
+@query("op7_language_model")
+def language_model(spark: SparkSession, folder: str) -> DataFrame:
+    documents = records(spark, folder).withColumn(IN_TRAINING, id_crc(ID) % 7 != 2)
+    return score_records(documents).withColumnRenamed(ID, "doc_id")
+
+
 @query("op8_near_duplicates")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicate_groups(records(spark, folder)).withColumnRenamed(ID, "doc_id")
