@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from stationflow.llm import arrays as A
 from stationflow.llm.elias_fano import SuccessorTrie, values_of
-from stationflow.llm.records import ID, TEXT
+from stationflow.llm.records import ID, TEXT, ship_package
 from stationflow.llm.storage import stored
 
 IN_TRAINING = "in_training"
@@ -290,6 +290,7 @@ def score_records(records: DataFrame, prior: float = PRIOR, batch_bytes: int = B
     missing = {ID, TEXT, IN_TRAINING} - set(records.columns)
     if missing:
         raise ValueError(f"source records lack {sorted(missing)}")
+    ship_package(spark)
     df = records.select(
         F.col(ID).alias(ID), F.coalesce(F.col(TEXT).cast("string"), F.lit("")).alias(TEXT),
         F.coalesce(F.col(IN_TRAINING).cast("boolean"), F.lit(False)).alias(IN_TRAINING),

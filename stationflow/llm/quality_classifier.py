@@ -142,10 +142,10 @@ def fit_quality_model(
         bad[feature] += b
     ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
     total = max(sum(share.values()), 1)
+    mean = (share.get(1, 0) + 0.5) / (total + 1)
+    flat = QualityModel(ratio, np.zeros(width), 0.0, 1.0, float(np.log(mean / (1 - mean))))
     if not share.get(0) or not share.get(1):
-        mean = (share.get(1, 0) + 0.5) / (total + 1) if share else 0.5
-        return QualityModel(ratio, np.zeros(width), 0.0, 1.0, float(np.log(mean / (1 - mean))))
-
+        return flat
     key = F.xxhash64(ID, F.lit("fit"))
     chosen = [
         known.where(F.col(LABEL) == v).withColumn("order_key", key).orderBy("order_key", ID).limit(fit_records_per_label)
@@ -157,6 +157,8 @@ def fit_quality_model(
     examples = sorted(sample.dropDuplicates(["order_key", LABEL]).collect(), key=lambda r: r["order_key"])
     features = [np.array(r["features"], np.int64) for r in examples]
     y = np.array([r[LABEL] for r in examples]) == 1
+    if len(set(y)) < 2:
+        return flat
     values = _scaled(features, ratio)
     train = np.arange(len(y)) % 4 != 0
     if len(set(y[train])) < 2:

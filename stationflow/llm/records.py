@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import functools
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,11 +18,28 @@ from stationflow.llm.arrays import CHUNK_BYTES, chunks
 ID, TEXT = "source_record_id", "raw_text"
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this library to the executors once per application, as `--py-files` would."""
+    context, package = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if context.applicationId in _shipped or not package.is_dir():
+        return
+    target = Path(tempfile.mkdtemp(prefix="stationflow-")) / "stationflow.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def source_records(df: DataFrame) -> DataFrame:
     """Only the two columns used here; further columns, whatever their names, are dropped."""
     missing = {ID, TEXT} - set(df.columns)
     if missing:
         raise ValueError(f"source records lack {sorted(missing)}")
+    ship_package(df.sparkSession)
     return df.select(F.col(ID).alias(ID), F.coalesce(F.col(TEXT).cast("string"), F.lit("")).alias(TEXT))
 
 
