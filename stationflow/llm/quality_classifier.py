@@ -63,8 +63,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _examples(part: pa.RecordBatch) -> pa.RecordBatch:
     feature, bounds = ngram_features(A.texts_of(part.column(TEXT)), part.num_rows)
-    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(feature, pa.int32()))
-    return pa.RecordBatch.from_arrays([part.column("order_key"), part.column(LABEL), lists], ["order_key", LABEL, "features"])
+    feature = feature.astype("<i4")
+    packed = [feature[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return pa.RecordBatch.from_arrays(
+        [part.column("order_key"), part.column(LABEL), pa.array(packed, pa.binary())], ["order_key", LABEL, "features"]
+    )
 
 
 def dual_coordinate_descent(
@@ -132,14 +135,14 @@ def fit_quality_model(
         labels.where(F.col(LABEL).isin(0, 1) & F.col(ID).isNotNull())
         .groupBy(F.col(ID).alias(ID)).agg(F.min(LABEL).cast("int").alias(LABEL))
     )
-    counted = df.join(known, ID).select(TEXT, LABEL).mapInArrow(_count, "feature bigint, good bigint, bad bigint")
-    rows = counted.groupBy("feature").agg(F.sum("good"), F.sum("bad")).collect()
+    # Labels grow with the records: the same join at every size, each text shuffled once at most.
+    counted = df.join(known.hint("merge"), ID).select(TEXT, LABEL).mapInArrow(_count, "feature bigint, good bigint, bad bigint")
+    rows = counted.groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow()
     share = {r[LABEL]: r["count"] for r in known.groupBy(LABEL).count().collect()}
     width = 1 << FEATURE_BITS
     good, bad = np.full(width, SMOOTHING), np.full(width, SMOOTHING)
-    for feature, g, b in rows:
-        good[feature] += g
-        bad[feature] += b
+    for array, column in ((good, "good"), (bad, "bad")):
+        array[rows.column("feature").to_numpy()] += rows.column(column).to_numpy()
     ratio = np.log(good / good.sum()) - np.log(bad / bad.sum())
     total = max(sum(share.values()), 1)
     mean = (share.get(1, 0) + 0.5) / (total + 1)
@@ -152,10 +155,10 @@ def fit_quality_model(
         for v in (0, 1)
     ]
     picked = df.join(F.broadcast(chosen[0].unionByName(chosen[1])), ID).select("order_key", LABEL, TEXT)
-    sample = map_records(picked, _examples, f"order_key bigint, {LABEL} int, features array<int>")
+    sample = map_records(picked, _examples, f"order_key bigint, {LABEL} int, features binary")
     # Repeated records would exceed the bound: one of each key.
     examples = sorted(sample.dropDuplicates(["order_key", LABEL]).collect(), key=lambda r: r["order_key"])
-    features = [np.array(r["features"], np.int64) for r in examples]
+    features = [np.frombuffer(r["features"], "<i4") for r in examples]
     y = np.array([r[LABEL] for r in examples]) == 1
     if len(set(y)) < 2:
         return flat
