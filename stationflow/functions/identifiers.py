@@ -9,13 +9,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY_SEPARATOR = "\u001f"
+_ESCAPE = "\u001e"
+_NULL = _ESCAPE + "2"
 
 
 def positive_station(text: Column) -> Column:
-    """The identifier as a whole positive number, or null."""
+    """The identifier as a whole positive number, or null; also null beyond 64 bits."""
     number = F.trim(text.cast("string")).try_cast("double")
     usable = (number > 0) & ~F.isnan(number) & (number % 1 == 0)
-    return F.when(usable, number.cast("bigint"))
+    return F.when(usable, number.try_cast("bigint"))
 
 
 def opaque_station(text: Column) -> Column:
@@ -49,13 +51,26 @@ def station_instance(provider: Column, network: Column, station: Column) -> Colu
 
 
 def row_key(*parts: Column) -> Column:
-    """One text key; joins inside this library use the columns themselves."""
-    return F.concat_ws(KEY_SEPARATOR, *[p.cast("string") for p in parts])
+    """One text key; joins inside this library use the columns themselves.
+
+    Null has its own mark and the separator is escaped inside a part, so unlike keys never meet.
+    """
+
+    def encoded(part: Column) -> Column:
+        text = F.replace(part.cast("string"), F.lit(_ESCAPE), F.lit(_ESCAPE + "0"))
+        return F.coalesce(F.replace(text, F.lit(KEY_SEPARATOR), F.lit(_ESCAPE + "1")), F.lit(_NULL))
+
+    return F.concat_ws(KEY_SEPARATOR, *[encoded(p) for p in parts])
 
 
 def split_row_key(key: Column, names: Iterable[str]) -> list[Column]:
     pieces = F.split(key, KEY_SEPARATOR, -1)
-    return [pieces[i].alias(name) for i, name in enumerate(names)]
+
+    def decoded(piece: Column) -> Column:
+        text = F.replace(piece, F.lit(_ESCAPE + "1"), F.lit(KEY_SEPARATOR))
+        return F.when(piece != _NULL, F.replace(text, F.lit(_ESCAPE + "0"), F.lit(_ESCAPE)))
+
+    return [decoded(pieces[i]).alias(name) for i, name in enumerate(names)]
 
 
 def row_hash(*parts: Column) -> Column:

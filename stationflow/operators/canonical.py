@@ -139,6 +139,23 @@ def quality_report(df: DataFrame, timestamp: str | None = None, demand: str | No
     return counted.withColumn("status", status).drop("rows")
 
 
+def marked_text(columns: Sequence[str]) -> Column:
+    """One text per row: each field with its length, null with its own mark; unlike rows never meet."""
+
+    def marked(column: str) -> Column:
+        value = F.col(column).cast("string")
+        return F.coalesce(F.concat(F.lit("v"), F.length(value).cast("string"), F.lit(":"), value), F.lit("n"))
+
+    return F.concat_ws("|", *[marked(c) for c in columns])
+
+
+def hash_sums(hash_hex: Column) -> list[Column]:
+    """Sums of the eight 32-bit words of SHA-256 texts: they do not depend on the order of rows."""
+    return [
+        F.sum(F.conv(F.substring(hash_hex, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")) for i in range(8)
+    ]
+
+
 def content_digest(
     df: DataFrame, columns: Sequence[str], also: Mapping[str, Column] | None = None
 ) -> DataFrame:
@@ -146,16 +163,12 @@ def content_digest(
 
     `also` names further aggregates to compute in the same pass.
 
-    Every row is hashed, the eight 32-bit words of the hashes are added up, and the sums are
+    Every row is hashed over its `marked_text`, the eight 32-bit words of the hashes are added up, and the sums are
     hashed once more. Only eight numbers per task travel, and no sort takes place.
     """
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
     also = dict(also or {})
-    hashed = df.withColumn("_h", F.sha2(text, 256))
-    words = [
-        F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).alias(f"_w{i}")
-        for i in range(8)
-    ]
+    hashed = df.withColumn("_h", F.sha2(marked_text(columns), 256))
+    words = [w.alias(f"_w{i}") for i, w in enumerate(hash_sums(F.col("_h")))]
     extra = [c.alias(n) for n, c in also.items()]
     sums = hashed.agg(F.count(F.lit(1)).alias("rows"), *words, *extra)
     joined = F.concat_ws(

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stationflow.operators.canonical import DataRuleError, content_digest
+from stationflow.operators.canonical import DataRuleError, content_digest, hash_sums, marked_text
 
 # Baseline name -> lag column, and the selection policy.
 BASELINES = {
@@ -194,7 +194,10 @@ def comparison_table(candidates: DataFrame, selected: str) -> DataFrame:
 
 
 def prediction_audit(predictions: DataFrame, saved: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Recompute saved metrics per model; negative predictions, duplicate keys, equality."""
+    """Recompute saved metrics per model; negative predictions, duplicate keys, equality.
+
+    With constant labels R2 is null, and equal to a saved null.
+    """
     per_key = predictions.groupBy("model", *keys).agg(
         F.count(F.lit(1)).alias("_n"),
         F.sum("y_true").alias("_y"),
@@ -202,6 +205,8 @@ def prediction_audit(predictions: DataFrame, saved: DataFrame, keys: Sequence[st
         F.sum(F.abs(F.col("y_true") - F.col("y_pred"))).alias("_abs"),
         F.sum((F.col("y_true") - F.col("y_pred")) ** 2).alias("_sq"),
         F.sum(F.col("y_true") ** 2).alias("_yy"),
+        F.min("y_true").alias("_low"),
+        F.max("y_true").alias("_high"),
         F.count_if(F.col("y_pred") < 0).alias("_neg"),
     )
     totals = per_key.groupBy("model").agg(
@@ -210,13 +215,16 @@ def prediction_audit(predictions: DataFrame, saved: DataFrame, keys: Sequence[st
         F.sum(F.col("_n") - 1).alias("duplicates"),
         (F.sum("_abs") / F.sum("_n")).alias("mae"),
         F.sqrt(F.sum("_sq") / F.sum("_n")).alias("rmse"),
-        (1 - F.sum("_sq") / (F.sum("_yy") - F.sum("_y") * F.sum("_y") / F.sum("_n"))).alias("r2"),
+        F.when(
+            F.min("_low") < F.max("_high"),
+            1 - F.try_divide(F.sum("_sq"), F.sum("_yy") - F.sum("_y") * F.sum("_y") / F.sum("_n")),
+        ).alias("r2"),
     )
-    expected = saved.select("model", *[F.col(m).alias(f"_{m}") for m in ("mae", "rmse", "r2")])
+    expected = saved.select("model", F.lit(True).alias("_saved"), *[F.col(m).alias(f"_{m}") for m in ("mae", "rmse", "r2")])
     equal = F.lit(True)
     for m in ("mae", "rmse", "r2"):
         near = F.abs(F.col(m) - F.col(f"_{m}")) <= 1e-9 + 1e-9 * F.abs(F.col(f"_{m}"))
-        equal = equal & F.coalesce(near, F.lit(False))
+        equal = equal & F.coalesce(near, F.isnull(m) & F.isnull(f"_{m}") & F.col("_saved").isNotNull())
     return totals.join(expected, "model", "left").select(
         "model", "rows", "negative_predictions", "duplicates", "mae", "rmse", "r2",
         equal.alias("matches_saved_metrics"),
@@ -274,9 +282,10 @@ def compare_runs(first: DataFrame, second: DataFrame, keys: Sequence[str]) -> Da
     """Two prediction runs: metrics within tolerance and equal content per model; time is ignored."""
     def summary(df: DataFrame, tag: str) -> DataFrame:
         columns = metric_columns(F.col("y_true"), F.col("y_pred"))
-        return df.groupBy("model").agg(
+        hashed = df.withColumn("_h", F.sha2(marked_text([*keys, "y_true", "y_pred"]), 256))
+        return hashed.groupBy("model").agg(
             *[c.alias(f"{n}_{tag}") for n, c in columns.items()],
-            F.sum(F.xxhash64(*keys, "y_true", "y_pred").cast("decimal(38,0)")).alias(f"hash_{tag}"),
+            F.array(*hash_sums(F.col("_h"))).alias(f"hash_{tag}"),
         )
 
     both = summary(first, "a").join(summary(second, "b"), "model", "full_outer")

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.functions import clocks, measures
 
-MAX_RANGE = timedelta(days=366)
 
 
 def network_hours(demand: DataFrame) -> DataFrame:
@@ -95,14 +94,12 @@ def station_ranking(demand: DataFrame, metric: str = "departures", limit: int =
 
 
 def checked_range(start: datetime, end: datetime) -> tuple[datetime, datetime]:
-    """UTC bounds of a read query; naive, empty and over-long ranges are refused."""
+    """UTC bounds of a read query; naive and empty ranges are refused."""
     if start.tzinfo is None or end.tzinfo is None:
         raise ValueError("start and end must include a time zone offset")
     start, end = start.astimezone(timezone.utc), end.astimezone(timezone.utc)
     if end <= start:
         raise ValueError("end must be later than start")
-    if end - start > MAX_RANGE:
-        raise ValueError("date range cannot exceed 366 days")
     return start, end
 
 
@@ -113,15 +110,16 @@ def in_range(demand: DataFrame, start: datetime, end: datetime) -> DataFrame:
 
 
 def hourly_series(
-    demand: DataFrame, start: datetime, end: datetime, station: str | None = None, limit: int = 1000
+    demand: DataFrame, start: datetime, end: datetime, station: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Per observed hour: sums and the number of observed station-hours, oldest first."""
-    if not 1 <= limit <= 5000:
-        raise ValueError("limit must be between 1 and 5000")
+    """Per observed hour: sums and the number of observed station-hours, oldest first.
+
+    All hours of the range, or the oldest `limit` where one is asked for.
+    """
     rows = in_range(demand, start, end)
     if station is not None:
         rows = rows.where(F.col("station") == station)
-    return (
+    hours = (
         rows.groupBy("time")
         .agg(
             F.sum("departures").alias("departures"),
@@ -129,14 +127,12 @@ def hourly_series(
             F.count(F.lit(1)).alias("observed_station_hours"),
         )
         .orderBy("time")
-        .limit(limit)
     )
+    return hours if limit is None else hours.limit(limit)
 
 
 def latest_history(demand: DataFrame, station: str | None = None, limit: int = 100) -> DataFrame:
-    """Newest observations first, ties by station."""
-    if not 1 <= limit <= 1000:
-        raise ValueError("limit must be between 1 and 1000")
+    """The newest `limit` observations, ties by station."""
     if station is not None:
         demand = demand.where(F.col("station") == station)
     return demand.orderBy(F.desc("time"), "station").limit(limit)

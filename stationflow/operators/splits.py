@@ -12,9 +12,14 @@ from stationflow.operators.sequences import with_global_rank
 def row_fraction_split(
     series: DataFrame, time: str = "time", train: float = 0.6, validation: float = 0.2
 ) -> DataFrame:
-    """Label rows of a series with unique, known times by their position: 60/20/20 by default."""
+    """Label rows of a series with unique times by their position: 60/20/20 by default.
+
+    A row without a time stops the job; none is dropped.
+    """
     if not (0 < train < 1 and 0 < validation < 1 and train + validation < 1):
         raise ValueError("split fractions must be positive and leave a test period")
+    unknown = F.raise_error(F.lit("times must be known before a chronological split"))
+    series = series.withColumn(time, F.coalesce(F.col(time), unknown))
     ranked = with_global_rank(
         series, [time], F.date_trunc("day", F.col(time)), name="_rank", total="_total"
     )

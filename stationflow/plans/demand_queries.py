@@ -120,7 +120,9 @@ _WORDS = ", '|', ".join(
     "E30",
     with_(
         "demand",
-        hashed=f"SELECT sha256(station || '|' || {ts('time')} || '|' || departures || '|' || arrivals) AS h FROM demand",
+        fields=f"SELECT station AS a, {ts('time')} AS b, departures::VARCHAR AS c, arrivals::VARCHAR AS d FROM demand",
+        hashed="SELECT sha256(concat_ws('|', 'v' || length(a) || ':' || a, 'v' || length(b) || ':' || b,"
+        " 'v' || length(c) || ':' || c, 'v' || length(d) || ':' || d)) AS h FROM fields",
     )
     + f"SELECT count(*)::BIGINT AS rows, sha256(concat(count(*), '|', {_WORDS})) AS digest FROM hashed",
 )

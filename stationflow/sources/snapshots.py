@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from stationflow.functions import clocks
 from stationflow.schemas import SNAPSHOT_DOCUMENT
 
-# Keeps quoted strings, unwraps NumberInt(n) outside of them.
-_WRAPPED_NUMBER = r'("(?:\\.|[^"\\])*")|NumberInt\(\s*(-?\d+)\s*\)'
+# A quote that no odd run of backslashes escapes: pieces between them are outside and inside in turn.
+_QUOTE = r'(?<!(?<!\\)(?:\\\\){0,40}\\)"'
 _OBJECT_BORDER = r'(?<=\})\s*(?=\{\s*"_id")'
 
 
@@ -23,6 +23,17 @@ def decoded_text(data: Column) -> Column:
     return F.regexp_replace(text, "^\ufeff", "")
 
 
+def unwrapped_numbers(text: Column) -> Column:
+    """`NumberInt(n)` as n, outside of quoted strings."""
+
+    def plain(piece: Column, position: Column) -> Column:
+        return F.when(position % 2 == 1, piece).otherwise(
+            F.regexp_replace(piece, r"NumberInt\s*\(\s*([-0-9]+)\s*\)", "$1")
+        )
+
+    return F.array_join(F.transform(F.split(text, _QUOTE, -1), plain), '"')
+
+
 def _stations(parsed: DataFrame, document: str, file: str) -> DataFrame:
     """One row per station of every document. A document without a station list is an error."""
     checked = F.when(
@@ -81,7 +92,7 @@ def read_snapshot_documents(
         F.col("length") > max_file_bytes,
         F.raise_error(F.concat(F.lit("snapshot file too large, use JSON lines: "), F.col("path"))),
     ).otherwise(F.col("content"))
-    text = F.regexp_replace(decoded_text(size), _WRAPPED_NUMBER, "$1$2")
+    text = unwrapped_numbers(decoded_text(size))
     documents = files.select(
         F.explode(F.split(F.trim(text), _OBJECT_BORDER)).alias("text"), F.col("path").alias("file")
     )

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stationflow.functions import clocks, identifiers
 from stationflow.operators import profiles
@@ -30,6 +31,13 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort
     return path
 
 
+def read_text_partitions(spark: SparkSession, path: str, partition_by: Sequence[str]) -> DataFrame:
+    """A partitioned table with its partition values as they were written: `007` is not `7`."""
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType() if f.name in partition_by else f.dataType) for f in found.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
+
+
 def write_station_exports(df: DataFrame, path: str, station: str = "station") -> str:
     """One folder of JSON per station, named by the hash of the id.
 
@@ -79,7 +87,7 @@ def active_versions(spark: SparkSession, store: str) -> DataFrame:
 
 def active_observations(spark: SparkSession, store: str) -> DataFrame:
     """Observations of the active batches. The pointer join prunes the other batch folders."""
-    rows = spark.read.parquet(f"{store}/observations")
+    rows = read_text_partitions(spark, f"{store}/observations", [*_SCOPE, "batch_id"])
     return rows.join(active_versions(spark, store), [*_SCOPE, "batch_id"], "left_semi")
 
 
@@ -139,6 +147,12 @@ def _append(spark: SparkSession, path: str, schema: str, row: tuple) -> None:
     spark.range(1, numPartitions=1).select(*values, stamp).write.mode("append").parquet(path)
 
 
+def _path_text(value: str) -> str:
+    """A partition value as a folder name, escaped as Spark's own writer does."""
+    special = set("\"#%'*/:=?\\{[]^\x7f")
+    return "".join(f"%{ord(c):02X}" if c in special or c < " " else c for c in value)
+
+
 def publish(
     spark: SparkSession, store: str, demand: DataFrame, provider: str, network: str, source_name: str
 ) -> str:
@@ -149,7 +163,8 @@ def publish(
     """
     expected, batch = check_publishable(demand, provider, network, source_name)
     known = batches(spark, store).where((F.col("batch_id") == batch) & (F.col("status") == "published"))
-    folder = f"{store}/observations/provider_id={provider}/network_id={network}/batch_id={batch}"
+    names = {"provider_id": provider, "network_id": network, "batch_id": batch}
+    folder = "/".join([f"{store}/observations", *(f"{k}={_path_text(v)}" for k, v in names.items())])
     if known.isEmpty():
         _append(spark, f"{store}/batches", _BATCH_SCHEMA, (batch, expected, "loading"))
         rows = published_rows(demand, provider, network).hint("rebalance", "station_id")
@@ -164,10 +179,17 @@ def publish(
     return batch
 
 
-def upsert_stations(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Last write wins per station; a null in the new row keeps the known value."""
+def upsert_stations(
+    existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str] = ()
+) -> DataFrame:
+    """Last write wins per station; a null in the new row keeps the known value.
+
+    Of several incoming rows of a station the last by `order` counts, by all fields if none is given.
+    """
     fields = [c for c in incoming.columns if c not in keys]
-    new = incoming.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in fields])
+    last = F.max_by(F.struct(*fields), F.struct(*(order or fields))).alias("_row")
+    one = incoming.groupBy(*keys).agg(last)
+    new = one.select(*keys, *[F.col(f"_row.{c}").alias(f"_new_{c}") for c in fields])
     both = existing.join(new, list(keys), "full_outer")
     return both.select(*keys, *[F.coalesce(f"_new_{c}", c).alias(c) for c in fields])
 

@@ -66,3 +66,11 @@ def test_offending_rows_name_their_rules(spark):
     good = canonical.canonical_demand(demand(spark, [(T, "1", 1, 2, 2021), (T, "2", 1, 2, 2021)]), "demo")
     bad = good.withColumn("demand", F.when(F.col("station_id") == "1", 9).otherwise(F.col("demand")))
     assert rows(canonical.offending_rows(bad, canonical.canonical_rules()), "station_id", "broken_rules") == [("1", ["demand"])]
+
+
+def test_digest_tells_fields_and_nulls_apart(spark):
+    pairs = [("a|b", "c"), ("a", "b|c"), ("", None), (None, ""), ("", "")]
+    digests = [
+        one(canonical.content_digest(spark.createDataFrame([p], "x string, y string"), ["x", "y"]))["digest"] for p in pairs
+    ]
+    assert len(set(digests)) == len(pairs)

@@ -115,3 +115,16 @@ def test_station_codes_follow_text_order(spark):
     df = spark.createDataFrame([("10",), ("9",), ("100",), ("b",), ("10",)], "station string")
     got = dict(rows(identifiers.station_codes(df)))
     assert got == {"10": 0, "100": 1, "9": 2, "b": 3}
+
+
+def test_row_keys_tell_nulls_and_separators_apart(spark):
+    parts = [("t", None, "X"), ("t", "X", None), ("t\u001fX", None, None), ("t", "X", "\u001e1"), ("\u001e2", "", None)]
+    df = spark.createDataFrame(parts, "a string, b string, c string")
+    keyed = df.select(identifiers.row_key(F.col("a"), F.col("b"), F.col("c")).alias("key"))
+    assert keyed.distinct().count() == len(parts)
+    back = keyed.select(*identifiers.split_row_key(F.col("key"), ["a", "b", "c"]))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(parts, key=str)
+
+
+def test_station_numbers_beyond_64_bits_are_null(spark):
+    assert values(spark, ["1e300", "7"], lambda x: identifiers.positive_station(x)) == [None, 7]

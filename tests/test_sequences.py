@@ -115,6 +115,8 @@ def test_row_fraction_split(spark):
     assert got == [("test", 2), ("train", 6), ("validation", 2)]
     with pytest.raises(ValueError):
         splits.check_series(df.union(df.limit(1)))
+    with pytest.raises(Exception, match="times must be known"):
+        splits.row_fraction_split(df.union(df.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes]))).count()
 
 
 def test_segments_break_at_missing_hours(spark):

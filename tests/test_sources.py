@@ -192,3 +192,25 @@ def test_validity_widens(spark):
     seen = spark.createDataFrame([(t, "a", 1, 1)], DEMAND)
     known = spark.createDataFrame([("a", at("2021-01-01T00:00:00"), at("2021-02-01T00:00:00"))], "station string, valid_from timestamp, valid_to timestamp")
     assert rows(profiles.validity_intervals(seen, known)) == [("a", "2021-01-01 00:00:00", "2022-01-01 06:00:00")]
+
+
+def test_partition_values_stay_texts(spark, tmp_path):
+    df = spark.createDataFrame([("007", 1), ("7", 2)], "station string, n int")
+    path = tables.write_table(df, str(tmp_path / "t"), partition_by=["station"])
+    assert rows(tables.read_text_partitions(spark, path, ["station"]), "station", "n") == [("007", 1), ("7", 2)]
+
+
+def test_networks_with_leading_zeros_stay_apart(spark, tmp_path):
+    store = str(tmp_path / "store")
+    t = at("2022-01-01T10:00:00")
+    for network, n in (("01", 1), ("1", 2), ("a/b:c", 3)):
+        demand = spark.createDataFrame([(t, "5", n, 0)], "time timestamp, station string, departures bigint, arrivals bigint")
+        tables.publish(spark, store, demand, "007", network, "test")
+    found = rows(tables.active_observations(spark, store), "provider_id", "network_id", "departures")
+    assert found == [("007", "01", 1), ("007", "1", 2), ("007", "a/b:c", 3)]
+
+
+def test_repeated_stations_in_an_upsert(spark):
+    old = spark.createDataFrame([("1", "A", 1)], "station string, name string, n int")
+    new = spark.createDataFrame([("1", "B", 2), ("1", "C", 3), ("2", "D", 4)], "station string, name string, n int")
+    assert rows(tables.upsert_stations(old, new, ["station"], order=["n"])) == [("1", "C", 3), ("2", "D", 4)]
