@@ -9,7 +9,7 @@ import numpy as np
 
 from stationflow.llm import arrays as A
 
-MAX_WORDS = 1_200_000
+MAX_WORDS = 700_000
 
 
 _MARK = np.zeros(256, bool)

@@ -4,7 +4,7 @@ import hashlib
 import random
 import re
 
-from helpers import by_id, records
+from record_tables import by_id, records
 
 from stationflow.llm.credential_scan import find_secrets, known_digest_or_identifier, redacted_records
 

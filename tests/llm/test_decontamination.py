@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from helpers import records
+from record_tables import records
 
 from stationflow.llm.decontamination import EDIT_RATE, find_contamination, qgrams, uncontaminated_records, plain_points
 

@@ -5,7 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
-from helpers import WORD, by_id, lowered, records
+from record_tables import WORD, by_id, lowered, records
 from pyspark.sql import functions as F
 
 from stationflow.llm.elias_fano import EliasFano, SuccessorTrie, codes_of, values_of

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from helpers import by_id, records
+from record_tables import by_id, records
 
 from stationflow.llm.licence_scan import find_licences
 from stationflow.llm.licence_texts import KNOWN_LICENCES

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import xxhash
-from helpers import WORD, by_id, lowered, records
+from record_tables import WORD, by_id, lowered, records
 
 from stationflow.llm.components import connected_components
 from stationflow.llm.near_duplicates import grid_masks, near_duplicate_groups, near_links, unary_counts

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from helpers import records
+from record_tables import records
 
 from stationflow.llm.packing import pack_records, pack_shard
 

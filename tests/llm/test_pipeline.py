@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from helpers import WORD
+from record_tables import WORD
 from test_near_duplicates import components, fingerprint
 from test_quality_rules import brute as rules
 

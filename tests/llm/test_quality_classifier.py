@@ -5,7 +5,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from helpers import by_id, records
+from record_tables import by_id, records
 
 from stationflow.llm.quality_classifier import dual_coordinate_descent, fit_quality_model, score_quality
 from stationflow.llm.queries import QUERIES

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 
-from helpers import WORD, by_id, records
+from record_tables import WORD, by_id, records
 
 from stationflow.llm.quality_rules import LINE_LIMIT, NGRAM_LIMITS, good_records, repetition_report
 
