@@ -51,7 +51,8 @@ EQUIVALENT_WORDS = (
     ("wilful", "willful"),
 )
 
-_COPYRIGHT_LINE = r"(?m)^[^a-z\n]*(?:copyright\b(?!\s+(?:notice|holder|owner))|\(c\)\s|©)[^\n]*$"
+# A line that begins with a copyright mark, but for the rules that speak of a copyright notice.
+_COPYRIGHT_LINE = r"(?md)^[^a-z\n]*(?:copyright\b(?![ \t]+(?:notice|holder|owner))|\(c\)[ \t]|©)[^\n]*$"
 _PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 

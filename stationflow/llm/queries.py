@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from stationflow.llm.credential_scan import find_secrets
 from stationflow.llm.decontamination import find_contamination
 from stationflow.llm.language_model import IN_TRAINING, score_records
-from stationflow.llm.licence_scan import find_licences
+from stationflow.llm.licence_scan import EQUIVALENT_WORDS, find_licences
+from stationflow.llm.licence_texts import KNOWN_LICENCES
 from stationflow.llm.near_duplicates import near_duplicate_groups
 from stationflow.llm.packing import pack_records
 from stationflow.llm.personal_data import find_personal_data
@@ -20,6 +21,8 @@ from stationflow.llm.records import ID, TEXT
 from stationflow.llm.source_urls import UrlRule, judge_source_urls
 from stationflow.session import use_utc
 
+# Results that hold hashes of spans, tokens, fingerprints or iterated scores have no SQL form; their
+# queries are tested against brute force. SQL holds the others.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -109,6 +112,30 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return find_personal_data(records(spark, folder)).withColumnRenamed(ID, "doc_id")
 
 
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    """DuckDB form of `licence_scan.canonical_text`."""
+    mark = "regexp_matches(l, '^[^a-z]*(\\(c\\)[ \\t]|©)')"
+    named = "regexp_matches(l, '^[^a-z]*copyright\\b') AND NOT regexp_matches(l, '^[^a-z]*copyright[ \\t]+(notice|holder|owner)')"
+    kept = f"list_transform(string_split(lower({text}), chr(10)), lambda l: CASE WHEN {mark} OR ({named}) THEN '' ELSE l END)"
+    plain = f"trim(regexp_replace(array_to_string({kept}, chr(10)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    words = " ".join(f"WHEN {_text(a)} THEN {_text(b)}" for a, b in EQUIVALENT_WORDS)
+    return f"array_to_string(list_transform(string_split({plain}, ' '), lambda w: CASE w {words} ELSE w END), ' ')"
+
+
+SQL["op10_licences"] = (
+    "WITH texts(licence_id, licence_text) AS (VALUES "
+    + ", ".join(f"({_text(a)}, {_text(b)})" for a, b in KNOWN_LICENCES)
+    + f"), known AS (SELECT sha256({_canonical_sql('licence_text')}) AS digest, min(licence_id) AS licence_id FROM texts GROUP BY 1),"
+    f" plain AS (SELECT doc_id, {_canonical_sql('coalesce(text, chr(32))')} AS t FROM documents),"
+    " digests AS (SELECT doc_id, CASE WHEN t <> '' THEN sha256(t) END AS digest FROM plain)"
+    " SELECT doc_id, digests.digest, licence_id FROM digests LEFT JOIN known ON digests.digest = known.digest"
+)
+
+
 @query("op10_licences")
 def licences(spark: SparkSession, folder: str) -> DataFrame:
     return find_licences(records(spark, folder)).withColumnRenamed(ID, "doc_id")
