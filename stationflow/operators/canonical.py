@@ -84,9 +84,10 @@ def count_violations(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 
 def offending_rows(df: DataFrame, rules: Mapping[str, Column], sample: int = 10) -> DataFrame:
-    """A short sample of rows with the names of the rules they break."""
+    """The first `sample` rows that break a rule, in the order of all columns, with the rules' names."""
     names = F.array_compact(F.array(*[F.when(rule, F.lit(n)) for n, rule in rules.items()]))
-    return df.withColumn("broken_rules", names).where(F.size("broken_rules") > 0).limit(sample)
+    marked = df.withColumn("broken_rules", names).where(F.size("broken_rules") > 0)
+    return marked.orderBy(*df.columns).limit(sample)
 
 
 def assert_canonical(df: DataFrame, sample: int = 10) -> DataFrame:

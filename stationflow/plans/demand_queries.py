@@ -78,7 +78,23 @@ def _(t: Tables):
     return canonical.count_violations(_damaged(t), canonical.canonical_rules())
 
 
-@query("offending_rows", "C8 G4", None)
+@query(
+    "offending_rows",
+    "C8 G4",
+    with_(
+        "user_demand",
+        damaged="SELECT 'demo' AS provider, CASE WHEN departures > 1 THEN '' ELSE station END AS station_id,"
+        " time AS observed_at, departures, arrivals, year(time)::BIGINT AS source_year,"
+        " CASE WHEN arrivals <= 1 THEN departures + arrivals END AS total_activity,"
+        " arrivals - departures + (arrivals > departures)::BIGINT AS net_flow, departures AS demand FROM user_demand",
+    )
+    + f"SELECT provider, station_id, {ts('observed_at')} AS observed_at, departures, arrivals, source_year,"
+    " total_activity, net_flow, demand, concat_ws(',', CASE WHEN departures > 1 THEN 'null_key' END,"
+    " CASE WHEN arrivals > 1 THEN 'total_activity' END, CASE WHEN arrivals > departures THEN 'net_flow' END)"
+    " AS broken_rules FROM damaged d WHERE departures > 1 OR arrivals > 1 OR arrivals > departures"
+    " ORDER BY provider, station_id, d.observed_at, departures, arrivals, source_year,"
+    " total_activity NULLS FIRST, net_flow, demand LIMIT 10",
+)
 def _(t: Tables):
     return canonical.offending_rows(_damaged(t), canonical.canonical_rules())
 
@@ -167,12 +183,15 @@ def _(t: Tables):
     return canonical.one_sided_keys(t.user_demand, _other_store(t), ["time", "station"])
 
 
-_A, _B = "SELECT DISTINCT o_custkey AS k FROM orders", "SELECT c_custkey AS k FROM customer WHERE c_acctbal > 0"
+_A, _B = "SELECT DISTINCT o_custkey AS k FROM orders", (
+    "SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -c_custkey END AS k FROM customer"
+)
 
 
 def _key_sets(t: Tables):
     a = t.orders.select(F.col("o_custkey").alias("k"))
-    b = t.table("customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"))
+    other = F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).otherwise(-F.col("c_custkey"))
+    b = t.table("customer").select(other.alias("k"))
     return a, b
 
 
@@ -550,14 +569,16 @@ def _identity_sources(t: Tables):
     return {
         "demand": t.orders.select(F.col("o_custkey").alias("station")),
         "snapshot": t.lineitem.select(F.col("l_suppkey").alias("station")),
-        "master": t.table("customer").where("c_acctbal > 5000").select(F.col("c_custkey").alias("station")),
+        "master": t.table("customer").select(
+            F.when(F.col("c_acctbal") > 5000, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("station")
+        ),
     }
 
 
 _IDENTITY = (
     "WITH s AS (SELECT o_custkey AS station, 1 AS d, 0 AS p, 0 AS m FROM orders UNION ALL"
     " SELECT l_suppkey, 0, 1, 0 FROM lineitem UNION ALL"
-    " SELECT c_custkey, 0, 0, 1 FROM customer WHERE c_acctbal > 5000),"
+    " SELECT CASE WHEN c_acctbal > 5000 THEN c_custkey ELSE -c_custkey END, 0, 0, 1 FROM customer),"
     " i AS (SELECT CAST(station AS VARCHAR) AS station, max(d) = 1 AS in_demand, max(p) = 1 AS in_snapshot,"
     " max(m) = 1 AS in_master, max(d) + max(p) + max(m) AS held FROM s GROUP BY 1) "
 )
