@@ -402,11 +402,14 @@ def _(t: Tables):
     "A16",
     with_("demand")
     + f"SELECT DISTINCT station, {ts('d.time')} AS time, departures FROM demand d JOIN events e"
-    " ON e.event_type = d.station AND date_trunc('hour', e.ts) + INTERVAL 1 HOUR = d.time WHERE e.value > 30",
+    " ON e.event_type = d.station AND date_trunc('hour', e.ts)"
+    " + CASE WHEN e.value > 30 THEN INTERVAL 1 HOUR ELSE INTERVAL 400 DAY END = d.time",
 )
 def _(t: Tables):
-    hour = F.date_trunc("hour", "ts") + F.expr("INTERVAL 1 HOUR")
-    keys = t.events.where("value > 30").select(F.col("event_type").alias("station"), hour.alias("time"))
+    # One key per event: an hour with demand, or one long after all demand.
+    hour = F.date_trunc("hour", "ts")
+    late = F.when(F.col("value") > 30, hour + F.expr("INTERVAL 1 HOUR")).otherwise(hour + F.expr("INTERVAL 400 DAY"))
+    keys = t.events.select(F.col("event_type").alias("station"), late.alias("time"))
     return dataset.keyed_lookup(t.demand.drop("arrivals"), keys, ["station", "time"])
 
 

@@ -830,12 +830,14 @@ def _(t: Tables):
     with_("user_demand")
     + "SELECT station, min(" + ts("time") + ") AS valid_from, max(" + ts("time + INTERVAL 1 HOUR") + ") AS valid_to"
     " FROM (SELECT station, time FROM user_demand UNION ALL"
-    " SELECT CAST(user_id AS VARCHAR), TIMESTAMP '2024-01-20' FROM events WHERE event_type = 'error') GROUP BY 1",
+    " SELECT CAST(user_id AS VARCHAR), CASE WHEN event_type = 'error' THEN TIMESTAMP '2024-01-20'"
+    " ELSE TIMESTAMP '2024-01-15' END FROM events) GROUP BY 1",
 )
 def _(t: Tables):
-    known = t.events.where(F.col("event_type") == "error").select(
+    day = F.when(F.col("event_type") == "error", "2024-01-20").otherwise("2024-01-15")
+    known = t.events.select(
         F.col("user_id").cast("string").alias("station"),
-        F.lit("2024-01-20 00:00:00").cast("timestamp").alias("valid_from"),
-        F.lit("2024-01-20 01:00:00").cast("timestamp").alias("valid_to"),
+        F.concat(day, F.lit(" 00:00:00")).cast("timestamp").alias("valid_from"),
+        F.concat(day, F.lit(" 01:00:00")).cast("timestamp").alias("valid_to"),
     )
     return profiles.validity_intervals(t.user_demand, known)
