@@ -546,8 +546,7 @@ def _(t: Tables):
 
 @query("model_comparison", "I11 G5 G7 C13")
 def _(t: Tables):
-    simple = [c for c in models.FITTED_CANDIDATES if c.kind in ("ridge", "tree")]
-    return models.comparison(model_split(t), [*models.BASELINE_CANDIDATES, *simple])
+    return models.comparison(model_split(t), [*models.BASELINE_CANDIDATES, *models.FITTED_CANDIDATES])
 
 
 # --- streams ------------------------------------------------------------------------------------
@@ -563,7 +562,12 @@ def _drain(t: Tables, stream: DataFrame, purpose: str) -> DataFrame:
 
 def _event_stream(t: Tables) -> DataFrame:
     # A stream lists a pattern or a folder, not a single file.
-    return t.spark.readStream.schema(t.events.schema).parquet(f"{t.folder}/events*.parquet")
+    at = {"ts": F.lit(streams.CLOSING_TIME), "value": F.lit(0), "event_type": F.lit("closing"), "user_id": F.lit(0)}
+    row = [at.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in t.events.schema]
+    closing = t.spark.range(1).select(*row)
+    return streams.closed_stream(
+        t.spark, f"{t.folder}/events*.parquet", t.spark.createDataFrame(closing.collect(), t.events.schema), shared_dir(t.spark, "closing")
+    )
 
 
 @query(
@@ -572,7 +576,6 @@ def _event_stream(t: Tables) -> DataFrame:
     "WITH e AS (SELECT date_trunc('hour', ts) AS time, event_type AS station, 1 AS d, 0 AS a FROM events UNION ALL"
     " SELECT date_trunc('hour', ts + INTERVAL 30 MINUTE), CAST(user_id AS VARCHAR), 0, 1 FROM events)"
     f" SELECT {ts('time')} AS time, station, sum(d)::BIGINT AS departures, sum(a)::BIGINT AS arrivals FROM e"
-    " WHERE time + INTERVAL 1 HOUR <= (SELECT max(ts) + INTERVAL 30 MINUTE - INTERVAL 2 HOUR FROM events)"
     " GROUP BY time, station",
 )
 def _(t: Tables):
@@ -595,8 +598,7 @@ def _(t: Tables):
     " f AS (SELECT *, coalesce(epoch_us(time - lag(time) OVER (PARTITION BY station ORDER BY time)) <= 5400000000, false)"
     " AS joined FROM e), n AS (SELECT *, sum((NOT joined)::INT) OVER (PARTITION BY station ORDER BY time) AS run FROM f)"
     f" SELECT station, {ts('min(time)')} AS start, {ts('max(time)')} AS \"end\", count(*) AS samples,"
-    f" {r('epoch_us(max(time) - min(time)) / 60000000.0::DOUBLE')} AS span_minutes FROM n GROUP BY station, run"
-    " HAVING max(time) + INTERVAL 90 MINUTE <= (SELECT max(time) - INTERVAL 2 HOUR FROM e)",
+    f" {r('epoch_us(max(time) - min(time)) / 60000000.0::DOUBLE')} AS span_minutes FROM n GROUP BY station, run",
 )
 def _(t: Tables):
     low = _event_stream(t).where("value % 11 < 3")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.functions import measures
-from stationflow.sources.trips import read_text_csv
+from stationflow.sources.trips import numbered_rows, read_text_csv
 
 _VALUES = ("temperature_2m", "precipitation", "rain", "wind_speed_10m")
 # Fixed column candidates of station masters, in order of preference.
@@ -80,34 +80,32 @@ def read_station_master(spark: SparkSession, paths: str | Sequence[str], sep: st
     return station_master(read_text_csv(spark, paths, sep))
 
 
-def source_manifest(
-    spark: SparkSession, paths: str | Sequence[str], max_content_bytes: int = 256 * 1024 * 1024
-) -> DataFrame:
-    """(path, bytes, sha256, first_path, duplicate): identity of every source file.
+def source_manifest(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(path, bytes, digest, first_path, duplicate): identity of every source file.
 
-    Files up to `max_content_bytes` are hashed as a whole. Larger ones are hashed line by line on
-    all executors and identified by the sums of the line hashes, so no task reads a whole one.
+    The digest covers the size and every line with its number in the file: the SHA-256 of each
+    numbered line, summed by 32-bit words, hashed once more. Files with the same lines in another
+    order or with other line ends differ. The rule is the same at every size, and all splits of a file
+    are read side by side. Empty files hold nothing to read and are not listed.
     """
-    files = spark.read.format("binaryFile").load(paths)
-    small = files.where(F.col("length") <= max_content_bytes).select(
-        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    files = spark.read.format("binaryFile").load(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes")
     )
-    large = files.where(F.col("length") > max_content_bytes).select("path", F.col("length").alias("bytes"))
-    big_paths = [r["path"] for r in large.select("path").toLocalIterator()]
-    listed = small
-    if big_paths:
-        lines = spark.read.text(big_paths).select(
-            F.col("_metadata.file_path").alias("path"), F.sha2("value", 256).alias("_h")
-        )
-        words = [
-            F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string")
-            for i in range(8)
-        ]
-        digests = lines.groupBy("path").agg(F.sha2(F.concat_ws("|", *words), 256).alias("sha256"))
-        listed = small.unionByName(large.join(digests, "path").select("path", "bytes", "sha256"))
-    first = listed.groupBy("sha256").agg(F.min("path").alias("first_path"))
-    return listed.join(first, "sha256").select(
-        "path", "bytes", "sha256", "first_path", (F.col("path") != F.col("first_path")).alias("duplicate")
+    lines = numbered_rows(spark.read.option("lineSep", "\n").text(paths))
+    marked = lines.select(
+        F.col("file").alias("path"),
+        F.sha2(F.concat(F.concat(F.col("file_row").cast("string"), F.lit(":")).cast("binary"), F.col("value").cast("binary")), 256).alias("_h"),
+    )
+    words = [
+        F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"_{i}")
+        for i in range(8)
+    ]
+    sums = marked.groupBy("path").agg(*words)
+    digest = F.sha2(F.concat_ws("|", F.col("bytes").cast("string"), *[F.col(f"_{i}") for i in range(8)]), 256)
+    listed = files.join(sums, "path").select("path", "bytes", digest.alias("digest"))
+    first = listed.groupBy("digest").agg(F.min("path").alias("first_path"))
+    return listed.join(first, "digest").select(
+        "path", "bytes", "digest", "first_path", (F.col("path") != F.col("first_path")).alias("duplicate")
     )
 
 

@@ -12,7 +12,7 @@ from stationflow.schemas import SNAPSHOT_DOCUMENT
 
 # A quote that no odd run of backslashes escapes: pieces between them are outside and inside in turn.
 _QUOTE = r'(?<!(?<!\\)(?:\\\\){0,40}\\)"'
-_OBJECT_BORDER = r'(?<=\})\s*(?=\{\s*"_id")'
+_FIRST_KEY = '"_id"'
 
 
 def decoded_text(data: Column) -> Column:
@@ -79,23 +79,19 @@ def read_snapshot_lines(spark: SparkSession, paths: str | Sequence[str]) -> Data
     return _stations(parsed, "d", "file")
 
 
-def read_snapshot_documents(
-    spark: SparkSession, paths: str | Sequence[str], max_file_bytes: int = 256 * 1024 * 1024
-) -> DataFrame:
-    """Files of adjacent, possibly pretty-printed documents; one file is one task's row.
+def read_snapshot_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Files of adjacent, possibly pretty-printed documents, whose first field is `_id`.
 
-    Such an export cannot be split before it is parsed, so files over `max_file_bytes` are
-    refused; hand those over as JSON lines.
+    Lines end at that field's name, so splits of a file are read side by side, whatever its size: each
+    piece is one document without its opening, followed by the brace that opens the next one. `_id`
+    as another field's name or value makes a document unreadable and fails the read.
     """
-    files = spark.read.format("binaryFile").load(paths)
-    size = F.when(
-        F.col("length") > max_file_bytes,
-        F.raise_error(F.concat(F.lit("snapshot file too large, use JSON lines: "), F.col("path"))),
-    ).otherwise(F.col("content"))
-    text = unwrapped_numbers(decoded_text(size))
-    documents = files.select(
-        F.explode(F.split(F.trim(text), _OBJECT_BORDER)).alias("text"), F.col("path").alias("file")
+    pieces = spark.read.option("lineSep", _FIRST_KEY).text(paths).select(
+        decoded_text(F.col("value").cast("binary")).alias("piece"), F.col("_metadata.file_path").alias("file")
     )
+    opening = F.col("piece").rlike(r"^\s*\{?\s*$")
+    text = F.concat(F.lit("{" + _FIRST_KEY), F.regexp_replace("piece", r"\{\s*$", ""))
+    documents = pieces.where(~opening).select(unwrapped_numbers(text).alias("text"), "file")
     parsed = documents.select(
         F.from_json("text", SNAPSHOT_DOCUMENT, {"mode": "FAILFAST"}).alias("d"), "file"
     )

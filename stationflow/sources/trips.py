@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,31 @@ def read_text_csv(
     return reader.schema(schema).option("enforceSchema", False).csv(paths)
 
 
+def numbered_rows(scan: DataFrame) -> DataFrame:
+    """Rows of a file scan with `file` and `file_row`, the row's number in its file from 0.
+
+    The number does not depend on how the files are split: rows are numbered within each split, and
+    the splits of a file (one row each) are summed up in order. `scan` is a file read without further steps.
+    """
+    rows = scan.select(
+        "*",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = (
+        rows.groupBy("file", "_split")
+        .agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+        .select("file", "_split", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    )
+    return (
+        rows.join(splits, ["file", "_split"])
+        .withColumn("file_row", F.col("_row") + F.col("_shift"))
+        .drop("_split", "_row", "_shift")
+    )
+
+
 def map_columns(raw: DataFrame, mapping: Mapping[str, str], required: Sequence[str]) -> DataFrame:
     """Rename source columns to the canonical names; the other columns stay for row identity."""
     missing = sorted(set(required) - set(mapping))
@@ -58,30 +83,34 @@ def read_exact_trips(spark: SparkSession, paths: str | Sequence[str]) -> DataFra
     return map_columns(read_text_csv(spark, paths, sep=";"), EXACT_MAPPING, tuple(EXACT_MAPPING))
 
 
-def header_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, str, list[str]]]:
-    """(header line, separator, files) for every header form that names the four trip fields.
+def header_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str | None, str, list[str]]]:
+    """(header line, separator, files) for every header form that names the four trip fields, and one
+    entry without a line for the files that have none.
 
-    The lines are searched on the executors; only one header per file comes back.
+    A header is the first line of its file. It is picked on the executors; one line per file comes back.
     """
     lines = spark.read.text(paths).select(
         F.col("_metadata.file_path").alias("file"),
-        F.regexp_replace("value", "^\ufeff", "").alias("line"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+        "value",
     )
+    first = lines.where(F.col("start") == 0).groupBy("file").agg(F.min_by("value", "row").alias("value"))
+    headers = first.select("file", F.regexp_replace("value", "^\ufeff", "").alias("line"))
     plain = F.regexp_replace(F.lower("line"), "[^a-z0-9;,]+", "")
     condition = F.lit(True)
     for name in _HEADER_FIELDS:
         condition = condition & plain.rlike(f"(^|[;,]){name}([;,]|$)")
     separator = F.when(plain.rlike(r"(^|;)unlockdate(;|$)"), ";").otherwise(",")
-    found = (
-        lines.where(condition)
-        .groupBy("file")
-        .agg(F.min_by("line", F.length("line")).alias("line"))
-        .withColumn("sep", separator)
+    named = F.coalesce(condition, F.lit(False))
+    found = headers.select(
+        "file", F.when(named, F.col("line")).alias("line"), F.when(named, separator).otherwise(",").alias("sep")
     )
-    groups: dict[tuple[str, str], list[str]] = {}
+    groups: dict[tuple[str | None, str], list[str]] = {}
     for row in found.toLocalIterator():
         groups.setdefault((row["line"], row["sep"]), []).append(row["file"])
-    return [(line, sep, sorted(files)) for (line, sep), files in sorted(groups.items())]
+    ordered = sorted(groups.items(), key=lambda g: (g[0][0] is None, g[0][0] or "", g[0][1]))
+    return [(line, sep, sorted(files)) for (line, sep), files in ordered]
 
 
 def recovered_trip(line: Column, sep: str = ",") -> Column:
@@ -129,20 +158,28 @@ def recovered_trip(line: Column, sep: str = ",") -> Column:
 _FLEXIBLE = ("unlockdate", "lockdate", "stationunlock", "stationlock", "tripminutes", "idtrip")
 
 
-def read_flexible_trips(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(file, recovered, six text fields) of files whose headers and rows vary.
+def read_flexible_trips(
+    spark: SparkSession, paths: str | Sequence[str], keep_unread: bool = False
+) -> DataFrame:
+    """(file, file_row, recovered, six text fields) of files whose headers and rows vary.
 
     Rows as wide as their header are read by name. Rows of another width, and all rows of files
-    without a usable header, go through `recovered_trip`; rows it cannot read are left out.
+    without a usable header, go through `recovered_trip`; rows it cannot read are left out, or kept
+    with null fields by `keep_unread`, for `flexible_read_counts`.
     """
+    inline = F.inline_outer if keep_unread else F.inline
     parts = []
-    known: list[str] = []
     for line, sep, files in header_groups(spark, paths):
-        known += files
+        if line is None:
+            lines = numbered_rows(spark.read.text(files))
+            parts.append(
+                lines.select("file", "file_row", F.lit(True).alias("recovered"), inline(recovered_trip(F.col("value"), sep)))
+            )
+            continue
         names = [identifiers.normalized_header(n) for n in line.split(sep)]
         fields = [n or f"_blank{i}" for i, n in enumerate(names)]
         schema = ", ".join(f"`{n}` string" for n in [*fields, "_corrupt"])
-        rows = (
+        scan = (
             spark.read.schema(schema)
             .option("header", True)
             .option("sep", sep)
@@ -151,6 +188,7 @@ def read_flexible_trips(spark: SparkSession, paths: str | Sequence[str]) -> Data
             .option("columnPruning", False)
             .csv(files)
         )
+        rows = numbered_rows(scan)
         if "idtrip" not in fields and "idbike" in fields:
             rows = rows.withColumnRenamed("idbike", "idtrip")
             fields[fields.index("idbike")] = "idtrip"
@@ -166,27 +204,21 @@ def read_flexible_trips(spark: SparkSession, paths: str | Sequence[str]) -> Data
         # Inlining an array computes each trip once, whatever is built on its fields later.
         parts.append(
             rows.select(
-                F.col("_metadata.file_path").alias("file"),
+                "file",
+                "file_row",
                 bad.alias("recovered"),
-                F.inline(F.when(bad, recovered_trip(F.col("_corrupt"), sep)).otherwise(by_name)),
+                inline(F.when(bad, recovered_trip(F.col("_corrupt"), sep)).otherwise(by_name)),
             )
         )
-    headless = sorted(set(spark.read.text(paths).inputFiles()) - set(known))
-    if headless:
-        lines = spark.read.text(headless).select(F.col("_metadata.file_path").alias("file"), "value")
-        parts.append(
-            lines.select(
-                "file", F.lit(True).alias("recovered"), F.inline(recovered_trip(F.col("value"), ","))
-            )
-        )
-    result = parts[0]
-    for part in parts[1:]:
+    columns = ("file string", "file_row bigint", "recovered boolean", *[f"{n} string" for n in _FLEXIBLE])
+    result = spark.createDataFrame([], ", ".join(columns))
+    for part in parts:
         result = result.unionByName(part)
     return result
 
 
-def typed_flexible_trips(rows: DataFrame, year: int, tz: str) -> DataFrame:
-    """Typed trips with clock tags; rows without a start or a station are left out."""
+def _typed_rows(rows: DataFrame, year: int, tz: str) -> DataFrame:
+    """Flexible rows with typed fields and `valid`: a start, two stations and no bad end clock."""
     timed = clocks.with_lenient_utc(rows, {"started": "unlockdate", "ended": "lockdate"}, tz)
     typed = timed.select(
         F.lit(year).alias("year"),
@@ -199,34 +231,63 @@ def typed_flexible_trips(rows: DataFrame, year: int, tz: str) -> DataFrame:
         F.col("file").alias("source_member"),
         F.col("started_resolution").alias("started_at_resolution"),
         F.col("ended_resolution").alias("ended_at_resolution"),
+        F.concat_ws(":", "file", "idtrip", "file_row").alias("record_identity"),
+        "recovered",
+        F.col("unlockdate").isNull().alias("_blank"),
     )
-    return typed.where(
+    valid = (
         F.col("started").isNotNull()
         & (F.col("origin") != "")
         & (F.col("destination") != "")
         & (F.col("ended_at_resolution") != "invalid")
-    ).withColumn(
-        "record_identity",
-        F.concat_ws(":", "source_member", "trip_id", F.monotonically_increasing_id()),
+    )
+    return typed.withColumn("valid", F.coalesce(valid, F.lit(False)))
+
+
+def typed_flexible_trips(rows: DataFrame, year: int, tz: str) -> DataFrame:
+    """Typed trips with clock tags; rows without a start or a station are left out.
+
+    `record_identity` is file, trip and row number: the same at every reading, however files are split.
+    """
+    return _typed_rows(rows, year, tz).where("valid").drop("valid", "recovered", "_blank")
+
+
+def flexible_read_counts(rows: DataFrame, year: int, tz: str) -> DataFrame:
+    """What became of the rows of each file: (file, raw_rows, trips, recovered_trips, invalid_rows, unread_rows).
+
+    `rows` comes from `read_flexible_trips(keep_unread=True)`. Trips, invalid rows (read, but without a
+    start, a station or a usable end) and unread rows add up to the raw rows; recovered trips are
+    among the trips.
+    """
+    unread = F.col("recovered") & F.col("_blank")
+    return (
+        _typed_rows(rows, year, tz)
+        .groupBy(F.col("source_member").alias("file"))
+        .agg(
+            F.count(F.lit(1)).alias("raw_rows"),
+            F.count_if("valid").alias("trips"),
+            F.count_if(F.col("valid") & F.col("recovered")).alias("recovered_trips"),
+            F.count_if(~F.col("valid") & ~unread).alias("invalid_rows"),
+            F.count_if(~F.col("valid") & unread).alias("unread_rows"),
+        )
     )
 
 
 def read_legacy_trips(spark: SparkSession, paths: str | Sequence[str], year: int, tz: str) -> DataFrame:
     """JSON lines with hour-rounded starts; the arrival clock is unknown and stays null."""
-    raw = (
-        spark.read.schema(
-            "unplug_hourTime string, idunplug_station string, idplug_station string,"
-            " travel_time string, user_day_code string, _id string"
-        )
-        .option("mode", "FAILFAST")
-        .json(paths)
-        .select("*", F.col("_metadata.file_path").alias("file"))
+    lines = numbered_rows(spark.read.text(paths)).where(F.trim("value") != "")
+    fields = (
+        "unplug_hourTime string, idunplug_station string, idplug_station string,"
+        " travel_time string, user_day_code string, _id string"
+    )
+    raw = lines.select(F.from_json("value", fields, {"mode": "FAILFAST"}).alias("r"), "file", "file_row").select(
+        "r.*", "file", "file_row"
     )
     clock = F.coalesce(
         F.get_json_object("unplug_hourTime", "$['$date']"), F.col("unplug_hourTime")
     )
     timed = clocks.with_lenient_utc(raw.withColumn("_clock", clock), {"started": "_clock"}, tz)
-    ordinal = F.monotonically_increasing_id()
+    ordinal = F.col("file_row")
     trip_id = F.coalesce(
         F.nullif(F.col("user_day_code"), F.lit("")),
         F.get_json_object("_id", "$['$oid']"),

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.operators.trips import explode_events
 
 
+# Far behind every event: a row at this time lets the watermark pass all windows.
+CLOSING_TIME = "2999-01-01 00:00:00"
+
+
+def closed_stream(spark: SparkSession, paths: str, closing: DataFrame, folder: str) -> DataFrame:
+    """All files of `paths` as a stream that ends, so that append mode emits every window.
+
+    `closing` is one valid row with the columns of the files and `CLOSING_TIME` as its event time; it is
+    written to `folder` and read along. The files and the row are one batch of an `availableNow` run, so the
+    order of files drops nothing; the batch without data behind it emits what is still open. The
+    window of the closing row itself stays open and is never emitted.
+    """
+    closing.write.parquet(folder)
+    files = spark.readStream.schema(closing.schema).parquet(paths)
+    return files.unionByName(spark.readStream.schema(closing.schema).parquet(folder))
+
+
 def streaming_station_hours(
     marked: DataFrame, record_id: str, lateness: str = "2 hours"
 ) -> DataFrame:

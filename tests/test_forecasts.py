@@ -193,7 +193,7 @@ def split(spark):
     return labelled
 
 
-@pytest.mark.parametrize("kind", ["ridge", "tree", "poisson"])
+@pytest.mark.parametrize("kind", ["ridge", "tree", "poisson", "boosting"])
 def test_models_predict_finite_nonnegative_values_also_for_unseen_stations(split, kind):
     candidate = next(c for c in models.FITTED_CANDIDATES if c.kind == kind)
     model = models.fit(candidate, split)

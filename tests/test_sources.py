@@ -53,8 +53,6 @@ def test_exact_csv_and_duplicate_files(spark, tmp_path):
     write(tmp_path, "b.csv", line)
     manifest = reference_data.source_manifest(spark, str(tmp_path))
     assert sorted(r["duplicate"] for r in manifest.collect()) == [False, True]
-    large = reference_data.source_manifest(spark, str(tmp_path), max_content_bytes=1)
-    assert sorted(r["duplicate"] for r in large.collect()) == [False, True]
     read = sources.read_exact_trips(spark, reference_data.distinct_files(manifest))
     assert read.count() == 1
     with pytest.raises(ValueError):
@@ -114,8 +112,71 @@ def test_shell_export_with_quoted_wrapper(spark, tmp_path):
 """
     got = rows(snapshots.read_snapshot_documents(spark, write(tmp_path, "m.json", text)), "station", "bikes", "name")
     assert got == [("7", 0.0, "NumberInt(7) street"), ("7", 4.0, "x")]
-    with pytest.raises(Exception, match="too large"):
-        snapshots.read_snapshot_documents(spark, str(tmp_path / "m.json"), max_file_bytes=10).collect()
+
+
+def many_splits(spark, read):
+    """The result of `read` when files are cut into splits of some bytes."""
+    keys = {"spark.sql.files.maxPartitionBytes": "97", "spark.sql.files.openCostInBytes": "1"}
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        return read()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_documents_and_identities_do_not_depend_on_splits(spark, tmp_path):
+    text = "\ufeff" + "\n".join(
+        json.dumps({"_id": f"2019-01-01T{i:02}:00:00", "stations": [{"id": i, "name": "Ñ {"}]}, indent=i % 3, ensure_ascii=False)
+        for i in range(24)
+    )
+    path = write(tmp_path, "d.json", text)
+
+    def stations():
+        return rows(snapshots.read_snapshot_documents(spark, path), "station", "time", "name")
+
+    assert len(stations()) == 24 and many_splits(spark, stations) == stations()
+    lines = "\n".join(json.dumps({"unplug_hourTime": "2018-07-01T11:00:00+02:00", "idunplug_station": 1, "idplug_station": 2}) for _ in range(20))
+    legacy = write(tmp_path, "l.json", lines)
+
+    def identities():
+        return rows(sources.read_legacy_trips(spark, legacy, 2018, ZONE), "record_identity")
+
+    assert len(set(identities())) == 20 and many_splits(spark, identities) == identities()
+
+
+def test_manifest_tells_order_and_line_ends_apart(spark, tmp_path):
+    folder = tmp_path / "m"
+    folder.mkdir()
+    texts = ["a,1\nb,2\n", "b,2\na,1\n", "a,1\nb,2", "a,1\r\nb,2\r\n", "", "\n", "a,1\nb,2\n", "\n" * 300 + "x", "x" + "\n" * 300]
+    for i, text in enumerate(texts):
+        write(folder, f"{i}.csv", text)
+
+    def digests():
+        manifest = reference_data.source_manifest(spark, str(folder))
+        return {r["path"].rsplit("/", 1)[1]: (r["digest"], r["bytes"], r["duplicate"]) for r in manifest.collect()}
+
+    got = digests()
+    assert "4.csv" not in got and len({d for d, _, _ in got.values()}) == len(got) - 1 == len(texts) - 2
+    assert [n for n, (_, _, again) in got.items() if again] == ["6.csv"]
+    assert many_splits(spark, digests) == got
+
+
+def test_only_the_first_line_is_a_header_and_counts_add_up(spark, tmp_path):
+    header = "unlock_date;lock_date;station_unlock;station_lock;trip_minutes;id_trip\n"
+    good = "2021-10-30T10:00:00;2021-10-30T10:09:00;225;7;9.0;T1\n"
+    write(tmp_path, "a.csv", header + good + good.replace("225", "") + "nonsense;x\n")
+    write(tmp_path, "b.csv", "export of October\n" + header + "2021-10-30,abc123,5.35,point,2021-10-30T19:00:00,2021-10-30T19:05:21,3,128,5,243\n")
+    all_rows = sources.read_flexible_trips(spark, str(tmp_path), keep_unread=True)
+    got = sorted(
+        (r["file"].rsplit("/", 1)[1], r["raw_rows"], r["trips"], r["recovered_trips"], r["invalid_rows"], r["unread_rows"])
+        for r in sources.flexible_read_counts(all_rows, 2021, ZONE).collect()
+    )
+    assert got == [("a.csv", 3, 1, 0, 1, 1), ("b.csv", 3, 1, 1, 0, 2)]
+    typed = sources.typed_flexible_trips(sources.read_flexible_trips(spark, str(tmp_path)), 2021, ZONE)
+    assert rows(typed, "origin", "destination") == [("128", "243"), ("225", "7")]
 
 
 def test_latin_names_survive_and_bad_lines_fail(spark, tmp_path):
