@@ -60,7 +60,7 @@ def coverage_distribution(coverage: DataFrame) -> DataFrame:
     pairs = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns]
     long = coverage.select(F.explode(F.array(*pairs)).alias("p")).select("p.measure", "p.v")
     wanted = {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "max": 1.0}
-    return sequences.exact_quantiles(long, "v", wanted, keys=["measure"], width=24.0)
+    return sequences.exact_quantiles(long, "v", wanted, keys=["measure"])
 
 
 def coverage_thresholds(coverage: DataFrame) -> DataFrame:
@@ -104,9 +104,7 @@ def delta_statistics(demand: DataFrame, time: str = "time", keys: Sequence[str]
         total(F.col("gap") == 1).alias("consecutive_one_hour_intervals"),
         *[total(F.col("gap") > h).alias(name) for name, h in DELTA_THRESHOLDS.items()],
     )
-    median = sequences.exact_quantiles(
-        gaps, "gap", {"median_delta_hours": 0.5}, keys=keys, width=24.0
-    )
+    median = sequences.exact_quantiles(gaps, "gap", {"median_delta_hours": 0.5}, keys=keys)
     if keys:
         return stats.join(median, keys, "left")
     return sequences.attach_row(stats, median)

@@ -188,7 +188,6 @@ def gap_statistics(samples: DataFrame, limit_minutes: float = 90.0) -> DataFrame
         gaps,
         "gap_minutes",
         {"median_gap": 0.5, "p95_gap": 0.95},
-        width=60.0,
         also={
             "gaps": F.coalesce(F.sum(n), F.lit(0)),
             "max_gap": F.max(v),

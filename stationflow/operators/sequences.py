@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+QUANTILE_RANGES = 128
+
 
 def _window(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
@@ -68,7 +70,6 @@ def exact_quantiles(
     value: str,
     probabilities: dict[str, float],
     keys: Sequence[str] = (),
-    width: float = 60.0,
     also: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of a numeric column, one row per key.
@@ -76,16 +77,23 @@ def exact_quantiles(
     `also` names further aggregates over the value counts: columns `_v` (value) and `_n` (rows).
 
     Equal values are counted first (combined before the shuffle), then ranked inside value
-    ranges of `width`; the built-in `percentile` would hold every distinct value of a key in
-    one buffer.
+    ranges. The borders of the ranges are approximate percentiles of the key's own distinct values,
+    so each range holds about the same number of them; they only deal out the work, the ranks are
+    exact. The built-in `percentile` would hold every distinct value of a key in one buffer.
     """
     keys = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bucket", F.floor(F.col("_v") / width))
     )
+    shares = F.array(*[F.lit(i / QUANTILE_RANGES) for i in range(1, QUANTILE_RANGES)])
+    borders = counts.groupBy(*keys).agg(
+        F.percentile_approx("_v", shares, 10 * QUANTILE_RANGES).alias("_borders")
+    )
+    counts = counts.join(borders, keys) if keys else attach_row(counts, borders)
+    above = F.size(F.filter("_borders", lambda b: b <= F.col("_v")))
+    counts = counts.withColumn("_bucket", above).drop("_borders")
     sizes = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
     w = _window(keys)
     before = F.sum("_size").over(w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
@@ -155,19 +163,20 @@ def event_runs(
     key: str = "station",
     time: str = "time",
     max_gap_minutes: float = 90.0,
-    bucket_hours: int = 24,
+    bucket_hours: float = 24,
 ) -> DataFrame:
     """Gaps and islands: maximal runs of event samples per key.
 
     A run ends at a non-event sample, at a gap over `max_gap_minutes`, and at a repeated clock.
     Runs are first cut at bucket borders, so rows of a hot key spread over its buckets; only the
-    at most two fragments that touch the borders of each bucket are then stitched. A bucket must
-    be longer than the allowed gap, hence a run can only continue into the next bucket.
+    fragments that touch the borders of each bucket, or the samples there that are no event, are then
+    stitched. Buckets may be of any length, also shorter than the allowed gap: the fragment before
+    a border is the one of the last bucket with samples, however far back it lies.
     """
-    if bucket_hours * 60 <= max_gap_minutes:
-        raise ValueError("a bucket must be longer than the allowed gap")
+    if bucket_hours <= 0:
+        raise ValueError("a bucket must have a length")
     micros = F.unix_micros(F.col(time).cast("timestamp"))
-    bucket = F.floor(micros / (bucket_hours * 3_600_000_000))
+    bucket = F.floor(micros / int(bucket_hours * 3_600_000_000))
     limit = int(max_gap_minutes * 60_000_000)
 
     rows = samples.select(
@@ -185,8 +194,8 @@ def event_runs(
     )
     numbered = marked.withColumn("_run", F.sum(F.col("_starts").cast("int")).over(w))
     fragments = (
-        numbered.where("_event")
-        .groupBy(key, "_bucket", "_run")
+        numbered.where("_event or _head or _foot")
+        .groupBy(key, "_bucket", "_run", "_event")
         .agg(
             F.min(time).alias("start"),
             F.max(time).alias("end"),
@@ -203,12 +212,11 @@ def event_runs(
         "*",
         F.when(border, F.lit(None)).otherwise(F.col("_bucket")).alias("_place"),
     )
-    b = Window.partitionBy(key, "_place").orderBy("_first_us")
+    b = Window.partitionBy(key, "_place").orderBy("_first_us", "_last_us", "_run")
     step = F.col("_first_us") - F.lag("_last_us").over(b)
     linked = (
         F.col("_head")
-        & F.lag("_foot").over(b)
-        & (F.lag("_bucket").over(b) == F.col("_bucket") - 1)
+        & F.lag(F.col("_foot") & F.col("_event")).over(b)
         & (step > 0)
         & (step <= limit)
     )
@@ -216,7 +224,8 @@ def event_runs(
         "_new", (~F.coalesce(linked, F.lit(False))).cast("int")
     ).withColumn("_group", F.sum("_new").over(b))
     return (
-        grouped.groupBy(key, "_place", "_group")
+        grouped.where("_event")
+        .groupBy(key, "_place", "_group")
         .agg(
             F.min("start").alias("start"),
             F.max("end").alias("end"),
@@ -227,7 +236,7 @@ def event_runs(
     )
 
 
-def run_summary(runs: DataFrame, span_bucket_minutes: float = 60.0) -> DataFrame:
+def run_summary(runs: DataFrame) -> DataFrame:
     """Count, singletons, total hours, median and longest span of a run table (one row)."""
     totals = runs.agg(
         F.count(F.lit(1)).alias("runs"),
@@ -235,9 +244,7 @@ def run_summary(runs: DataFrame, span_bucket_minutes: float = 60.0) -> DataFrame
         (F.coalesce(F.sum("span_minutes"), F.lit(0.0)) / 60).alias("observed_span_hours"),
         F.max("span_minutes").alias("max_span_minutes"),
     )
-    median = exact_quantiles(
-        runs, "span_minutes", {"median_span_minutes": 0.5}, width=span_bucket_minutes
-    )
+    median = exact_quantiles(runs, "span_minutes", {"median_span_minutes": 0.5})
     return attach_row(totals, median)
 
 

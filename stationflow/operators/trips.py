@@ -209,7 +209,7 @@ def recount_totals(resolved: DataFrame, trip_id: str) -> DataFrame:
     )
 
 
-def station_dimension(places: DataFrame, order: Sequence[str], width: float = 0.01) -> DataFrame:
+def station_dimension(places: DataFrame, order: Sequence[str]) -> DataFrame:
     """(station, name, latitude, longitude, latitude_span, longitude_span).
 
     Distinct places only; the name is the last in `order`; coordinates are exact medians.
@@ -229,9 +229,7 @@ def station_dimension(places: DataFrame, order: Sequence[str], width: float = 0.
             )
         ).alias("a"),
     ).select("station", "a.axis", "a.v")
-    medians = sequences.exact_quantiles(
-        axes, "v", {"median": 0.5}, keys=["station", "axis"], width=width
-    )
+    medians = sequences.exact_quantiles(axes, "v", {"median": 0.5}, keys=["station", "axis"])
     centre = medians.groupBy("station").agg(
         F.max(F.when(F.col("axis") == "latitude", F.col("median"))).alias("latitude"),
         F.max(F.when(F.col("axis") == "longitude", F.col("median"))).alias("longitude"),
@@ -241,7 +239,7 @@ def station_dimension(places: DataFrame, order: Sequence[str], width: float = 0.
     )
 
 
-def network_centre(stations: DataFrame, width: float = 0.01) -> DataFrame:
+def network_centre(stations: DataFrame) -> DataFrame:
     """Median of the station medians (one row)."""
     axes = stations.select(
         F.explode(
@@ -251,7 +249,7 @@ def network_centre(stations: DataFrame, width: float = 0.01) -> DataFrame:
             )
         ).alias("a")
     ).select("a.axis", "a.v")
-    medians = sequences.exact_quantiles(axes, "v", {"median": 0.5}, keys=["axis"], width=width)
+    medians = sequences.exact_quantiles(axes, "v", {"median": 0.5}, keys=["axis"])
     return medians.agg(
         F.max(F.when(F.col("axis") == "latitude", F.col("median"))).alias("latitude"),
         F.max(F.when(F.col("axis") == "longitude", F.col("median"))).alias("longitude"),

@@ -216,7 +216,7 @@ def _(t: Tables):
     + _RUN_ROWS,
 )
 def _(t: Tables):
-    return sequences.event_runs(_station_free(t).withColumn("available", F.col("bikes") > 0), "available", bucket_hours=6)
+    return sequences.event_runs(_station_free(t).withColumn("available", F.col("bikes") > 0), "available", bucket_hours=0.25)
 
 
 @query(

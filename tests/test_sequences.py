@@ -44,7 +44,7 @@ def test_runs_break_at_gaps_and_other_samples(spark):
     assert summary["runs"] == 4 and summary["singleton_runs"] == 3 and summary["observed_span_hours"] == 1.0
 
 
-@pytest.mark.parametrize("bucket", [2, 24])
+@pytest.mark.parametrize("bucket", [0.1, 1, 2, 24])
 def test_runs_equal_a_scan_on_a_hot_station(spark, bucket):
     rng = random.Random(7)
     data, clock = [], at("2022-01-01T00:00:00")
@@ -56,9 +56,9 @@ def test_runs_equal_a_scan_on_a_hot_station(spark, bucket):
     assert found_runs(sequences.event_runs(df, "event", bucket_hours=bucket)) == brute_runs(data)
 
 
-def test_bucket_must_exceed_the_gap(spark):
+def test_bucket_must_have_a_length(spark):
     with pytest.raises(ValueError):
-        sequences.event_runs(spark.createDataFrame([], SAMPLES), "event", bucket_hours=1)
+        sequences.event_runs(spark.createDataFrame([], SAMPLES), "event", bucket_hours=0)
 
 
 def test_previous_row_crosses_empty_buckets(spark):
@@ -74,7 +74,7 @@ def test_quantiles_are_exact(spark):
     data = [rng.choice([rng.random() * 500, 7.0, -30.5]) for _ in range(999)]
     df = spark.createDataFrame([(x,) for x in data], "v double")
     wanted = {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.951, "e": 1.0}
-    got = one(sequences.exact_quantiles(df, "v", wanted, width=10.0))
+    got = one(sequences.exact_quantiles(df, "v", wanted))
     expected = df.select(*[F.expr(f"percentile(v, {p})").alias(n) for n, p in wanted.items()]).first().asDict()
     assert got == pytest.approx(expected)
 
