@@ -564,7 +564,9 @@ def _(t: Tables):
 )
 def _(t: Tables):
     demand = profiles.with_measures(t.user_demand)
-    off = t.events.where("value > 100").select(F.col("user_id").cast("string").alias("station"))
+    # Ids below zero belong to no station.
+    inactive = F.when(F.col("value") > 100, F.col("user_id")).otherwise(-1 - F.col("user_id"))
+    off = t.events.select(inactive.cast("string").alias("station"))
     return audits.missingness_classes(demand, off, _coverage(t))
 
 

@@ -400,10 +400,10 @@ def _(t: Tables):
     "covered_stations",
     "E39 G2",
     _PREDICTED
-    + "SELECT station, count(*) AS rows FROM long WHERE model = 'mean' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
+    + "SELECT station, count_if(model = 'mean')::BIGINT AS rows FROM long GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
 )
 def _(t: Tables):
-    rows = _prediction_table(t).where("model = 'mean'").groupBy("station").agg(F.count(F.lit(1)).alias("rows"))
+    rows = _prediction_table(t).groupBy("station").agg(F.count_if(F.col("model") == "mean").alias("rows"))
     return rows.orderBy(F.desc("rows"), "station").limit(20)
 
 

@@ -8,6 +8,7 @@ a lost executor or driver before it leaves the former batch active.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,15 +20,32 @@ from stationflow.operators import profiles
 from stationflow.operators.canonical import DataRuleError, content_digest
 
 _SCOPE = ("provider_id", "network_id")
+# Fixed value: longest station instance id of a published row.
+MAX_INSTANCE_CHARS = 160
 _VERSION_SCHEMA = "provider_id string, network_id string, batch_id string, sequence bigint, published_at timestamp"
 _BATCH_SCHEMA = "batch_id string, expected_rows bigint, status string, recorded_at timestamp"
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> str:
-    """Write a finished table; the commit protocol shows either all files of the job or none."""
+    """Write a table beside its place, then put it there; a job that fails leaves the former table as it was.
+
+    The folder written first has a hidden name, which no reader of the folder above it lists. Where
+    the file system cannot rename folders at once, publish a version instead.
+    """
     if sort_by:
         df = df.sortWithinPartitions(*sort_by)
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    path = path.rstrip("/")
+    name = path.rsplit("/", 1)[-1]
+    beside = path.removesuffix(name)
+    fresh, former = (f"{beside}_{state}-{uuid.uuid4().hex}-{name}" for state in ("new", "former"))
+    df.write.partitionBy(*partition_by).parquet(fresh)
+    spark = df.sparkSession
+    if _exists(spark, path):
+        _rename(spark, path, former)
+        _rename(spark, fresh, path)
+        _folder(spark, former)[0].delete(_folder(spark, former)[1], True)
+    else:
+        _rename(spark, fresh, path)
     return path
 
 
@@ -49,9 +67,20 @@ def write_station_exports(df: DataFrame, path: str, station: str = "station") ->
     return path
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _folder(spark: SparkSession, path: str) -> tuple:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, target = _folder(spark, path)
+    return files.exists(target)
+
+
+def _rename(spark: SparkSession, path: str, to: str) -> None:
+    files, target = _folder(spark, path)
+    if not files.rename(target, _folder(spark, to)[1]):
+        raise OSError(f"cannot rename {path} to {to}")
 
 
 def _log(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -118,7 +147,9 @@ def check_publishable(demand: DataFrame, provider: str, network: str, source_nam
     whole = (F.col("departures") % 1 == 0) & (F.col("arrivals") % 1 == 0)
     fine = (F.col("departures") >= 0) & (F.col("arrivals") >= 0) & whole & F.col("time").isNotNull()
     text = F.col("station").cast("string")
-    bad = ~F.coalesce(fine & F.length(text).between(1, 64), F.lit(False))
+    instance = identifiers.station_instance(F.lit(provider), F.lit(network), text)
+    short = F.length(text).between(1, 64) & (F.length(instance) <= MAX_INSTANCE_CHARS)
+    bad = ~F.coalesce(fine & short, F.lit(False))
     per_key = demand.groupBy("time", "station").agg(
         F.count(F.lit(1)).alias("_n"),
         F.count_if(bad).alias("_bad"),

@@ -47,6 +47,23 @@ def test_hourly_year_of_two_networks(spark):
     assert one(year.agg(F.sum("departures").alias("n")))["n"] == 8760 + 2920
 
 
+def test_a_failed_write_leaves_the_former_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_table(spark.range(3), path)
+    with pytest.raises(Exception):
+        tables.write_table(spark.range(3).select(F.raise_error(F.lit("stop")).cast("bigint").alias("id")), path)
+    assert spark.read.parquet(path).count() == 3
+    tables.write_table(spark.range(5), path)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_long_instance_ids_are_refused(spark, tmp_path):
+    demand = spark.createDataFrame([(at("2022-01-01T00:00:00"), "s" * 60, 1, 1)], "time timestamp, station string, departures bigint, arrivals bigint")
+    with pytest.raises(DataRuleError):
+        tables.publish(spark, str(tmp_path / "store"), demand, "p" * 60, "n" * 60, "x")
+    tables.publish(spark, str(tmp_path / "store"), demand, "p", "n", "x")
+
+
 def test_exact_csv_and_duplicate_files(spark, tmp_path):
     line = "unlock_date;lock_date;station_unlock;station_lock\n2022-01-01 12:59;2022-01-01 13:10;1;2\n"
     write(tmp_path, "a.csv", line)
