@@ -10,7 +10,7 @@ import numpy as np
 from stationflow.llm import arrays as A
 
 MAX_WORDS = 700_000
-
+LEARN_WORDS = 8192  # encoded at once
 
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?")] = True
@@ -39,7 +39,7 @@ def _parts(texts: A.Texts, words: A.Words) -> A.Words:
 
 
 class WordTokens:
-    """Ids of words, kept by hash; forgotten all at once beyond `MAX_WORDS`.
+    """Ids of words, kept by hash in sorted arrays; forgotten all at once beyond `MAX_WORDS`.
 
     The tokenizer drops white space and never joins what white space parts, so a text's ids are its
     words' ids in order. Words are lower-cased first, as the tokenizer does, unless the texts may
@@ -54,17 +54,24 @@ class WordTokens:
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.sizes = [np.zeros(0, np.int64)]
-        self.ids = [np.zeros(0, np.int32)]
-
-    def _learn(self, keys: list[int], words: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        base = len(self.slot)
-        self.slot.update(zip(keys, range(base, base + len(keys)), strict=True))
-        sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        self.sizes.append(sizes)
-        self.ids.append(np.fromiter((i for ids in encoded for i in ids), np.int32, int(sizes.sum())))
+        self.keys = np.zeros(0, np.uint64)
+        self.slots = np.zeros(0, np.int32)
+        self.begin = np.zeros(1, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def _learn(self, keys: np.ndarray, place: np.ndarray, words: list[str]) -> None:
+        """Keep the ids of new words; `place` is where each of the sorted `keys` belongs."""
+        base = len(self.keys)
+        self.keys = np.insert(self.keys, place, keys)
+        self.slots = np.insert(self.slots, place, np.arange(base, base + len(keys), dtype=np.int32))
+        sizes, ids = [], [self.ids]
+        for at in range(0, len(words), LEARN_WORDS):
+            some = words[at : at + LEARN_WORDS]
+            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+            ids.append(np.fromiter((i for e in encoded for i in e), np.int32, int(sizes[-1].sum())))
+        self.ids = np.concatenate(ids)
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(np.concatenate(sizes))])
 
     def encode(self, texts: A.Texts, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text)."""
@@ -74,22 +81,23 @@ class WordTokens:
         if not len(words.start):
             return np.zeros(0, np.int32), np.zeros(n_docs, np.int64)
         distinct, first, word = np.unique(A.word_hashes(texts, words), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.slot) > MAX_WORDS:
+        if len(self.keys) > MAX_WORDS:
             self.clear()
-        missing = [i for i, k in enumerate(keys) if k not in self.slot]
-        if missing:
+        place = np.searchsorted(self.keys, distinct)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == distinct[known]
+        missing = np.flatnonzero(~known)
+        if len(missing):
             raw = texts.data
             at = first[missing]
             spans = zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)
-            self._learn([keys[i] for i in missing], [raw[s:e].tobytes().decode("utf-8", "replace") for s, e in spans])
-        self.sizes, self.ids = [np.concatenate(self.sizes)], [np.concatenate(self.ids)]
-        sizes, ids = self.sizes[0], self.ids[0]
-        begin = np.cumsum(sizes) - sizes
-        slot = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[word]
-        count = sizes[slot]
-        at = np.repeat(begin[slot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        return ids[at], A.totals(words.doc, n_docs, count.astype(float)).astype(np.int64)
+            new = [raw[s:e].tobytes().decode("utf-8", "replace") for s, e in spans]
+            self._learn(distinct[missing], place[missing], new)
+            place = np.searchsorted(self.keys, distinct)
+        slot = self.slots[place][word]
+        count = np.diff(self.begin)[slot]
+        at = np.repeat(self.begin[slot] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return self.ids[at], A.totals(words.doc, n_docs, count.astype(float)).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
