@@ -14,6 +14,7 @@ from stationflow.llm.licence_scan import EQUIVALENT_WORDS, find_licences
 from stationflow.llm.licence_texts import KNOWN_LICENCES
 from stationflow.llm.near_duplicates import near_duplicate_groups
 from stationflow.llm.packing import pack_records
+from stationflow.llm.periodic_runs import READINGS, STATION, find_periodic_runs
 from stationflow.llm.personal_data import find_personal_data
 from stationflow.llm.quality_classifier import fit_quality_model, score_quality
 from stationflow.llm.quality_rules import repetition_report
@@ -154,3 +155,39 @@ def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col(PIECE_IDS).cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2(DECODED, 256).alias("decoded_sha256"),
     )
+
+
+def _replayed(documents: DataFrame) -> DataFrame:
+    """The words of each text as readings; the contract makes a tenth of the texts periodic."""
+    h = id_crc("doc_id")
+    words = documents.select(
+        F.col("doc_id"),
+        h.alias("h"),
+        F.floor(h / 10).cast("bigint").alias("g"),
+        F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("words"),
+    )
+    n = F.size("words")
+    sized = words.withColumn("a", F.when((F.col("h") % 10 == 0) & (n > 0), F.col("g") % n).cast("int"))
+    period = (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    tail = F.slice("words", F.col("a") + 1, period)
+    again = F.flatten(F.array_repeat(tail, F.ceil((n - F.col("a")) / period).cast("int")))
+    replayed = F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(again, F.lit(1), n - F.col("a")))
+    return sized.select(F.col("doc_id").alias(STATION), F.when(F.col("a").isNull(), F.col("words")).otherwise(replayed).alias(READINGS))
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_periodic_runs(_replayed(spark.read.parquet(f"{folder}/documents.parquet")))
+    first = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("back"), (-r.period).alias("short"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    ranked = found.withColumn("longest", first)
+    return ranked.select(
+        F.col(STATION).alias("doc_id"),
+        F.size("runs").cast("bigint").alias("n_runs"),
+        (-F.col("longest.back")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.short")).alias("period"),
+        F.expr("1000 * longest.length div -longest.short").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2(F.array_join("collapsed", " "), 256).alias("collapsed_sha256"),
+    )
