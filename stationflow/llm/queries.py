@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stationflow.llm.credential_scan import find_secrets
 from stationflow.llm.decontamination import find_contamination
 from stationflow.llm.language_model import IN_TRAINING, score_records
+from stationflow.llm.ledger_repair import DETAIL, EVENT, NUMBER, TRIP, Kinds, repair_ledgers
 from stationflow.llm.licence_scan import EQUIVALENT_WORDS, find_licences
 from stationflow.llm.licence_texts import KNOWN_LICENCES
 from stationflow.llm.near_duplicates import near_duplicate_groups
@@ -157,6 +158,37 @@ def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _damaged(conversations: DataFrame) -> DataFrame:
+    """Turns of conversations as events of ledgers, with the faults of the contract."""
+
+    def known(column: str) -> Column:
+        return F.coalesce(F.col(column).cast("string"), F.lit(" "))
+
+    fault = F.crc32(F.concat(known("conv_id"), F.lit(":"), known("turn"))) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(known("text"), ".!?", "")).otherwise(known("text"))
+    copies = F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return conversations.where(fault != 0).select(
+        F.col("conv_id").alias(TRIP),
+        F.col("turn").alias(NUMBER),
+        F.when(fault == 4, "user").otherwise(known("role")).alias(EVENT),
+        text.alias(DETAIL),
+        F.explode(copies).alias("copy"),
+    )
+
+
+@query("op12_conversation_repair")
+def conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{folder}/conversations.parquet")
+    found = repair_ledgers(_damaged(conversations), Kinds("system", "user", "assistant"))
+    every = conversations.select(F.col("conv_id")).distinct()
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col(TRIP)), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("source_record_hash", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def _replayed(documents: DataFrame) -> DataFrame:
     """The words of each text as readings; the contract makes a tenth of the texts periodic."""
     h = id_crc("doc_id")
