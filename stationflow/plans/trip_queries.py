@@ -9,7 +9,7 @@ from stationflow.operators import canonical, profiles, trips
 from stationflow.plans.bindings import CTE, ZONE, Tables, local, utc, with_
 from stationflow.plans.registry import query, r, ts
 from stationflow.session import shared_dir
-from stationflow.sources import reference_data, snapshots, tables
+from stationflow.sources import commits, reference_data, snapshots, tables
 from stationflow.sources import trips as trip_sources
 
 COUNTS = f"SELECT {ts('time')} AS time, station, departures, arrivals FROM trip_demand"
@@ -758,8 +758,11 @@ _DEMAND = f"SELECT {ts('time')} AS time, station, departures, arrivals FROM dema
 
 @query("table_sink", "A10 G8", with_("demand") + _DEMAND)
 def _(t: Tables):
-    path = tables.write_table(t.demand, shared_dir(t.spark, "sink"), ["station"], ["time"])
-    return t.spark.read.parquet(path).select("time", F.col("station").cast("string"), "departures", "arrivals")
+    store = shared_dir(t.spark, "sink")
+    commits.save_table(t.demand.withColumn("departures", F.col("departures") + 1), store, "demand", ["station"], ["time"])
+    commits.save_table(t.demand, store, "demand", ["station"], ["time"])
+    rows = commits.read_table(t.spark, store, "demand", "time timestamp, departures bigint, arrivals bigint, station string")
+    return rows.select("time", "station", "departures", "arrivals")
 
 
 @query("station_exports", "A14", with_("demand")
@@ -774,13 +777,20 @@ def _(t: Tables):
 
 
 def _published(t: Tables) -> str:
-    """A store with two batches of one network and one of another; the first batch is active again."""
+    """A store with two batches of one network and one of another; the first batch is active again.
+
+    The second batch lies a day later and names the stations; of the other network one station has a place.
+    """
     store = shared_dir(t.spark, "store")
     stored = tables.write_table(t.demand, shared_dir(t.spark, "demand"))
     demand = t.spark.read.parquet(stored)
-    changed = demand.withColumn("departures", F.col("departures") + 1)
-    for rows, network in ((demand, "core"), (changed, "core"), (changed, "outer"), (demand, "core")):
-        tables.publish(t.spark, store, rows, "demo", network, "events")
+    changed = demand.withColumns({"departures": F.col("departures") + 1, "time": clocks.shift_hours(F.col("time"), 24)})
+    every = demand.select("station").distinct()
+    named = every.select("station", F.concat(F.lit("Stop "), "station").alias("name"), F.length("station").alias("capacity"))
+    placed = every.where("station = 'error'").select("station", F.lit(40.5).alias("latitude"), F.lit(-3.5).alias("longitude"))
+    later = demand.withColumn("departures", F.col("departures") + 1)
+    for rows, network, about in ((demand, "core", None), (changed, "core", named), (later, "outer", placed), (demand, "core", None)):
+        tables.publish(t.spark, store, rows, "demo", network, "events", about, "Europe/Paris", "FR", network.title())
     return store
 
 
@@ -804,6 +814,71 @@ def _(t: Tables):
     )
 
 
+@query(
+    "published_stations",
+    "A11 A12",
+    with_("demand")
+    + "SELECT 'demo' AS provider_id, network_id, station AS station_id, CASE WHEN network_id = 'core' THEN 'Stop ' || station END AS name,"
+    " CASE WHEN network_id = 'core' THEN length(station) END::BIGINT AS capacity,"
+    " CASE WHEN network_id = 'outer' AND station = 'error' THEN 40.5 END::DOUBLE AS latitude, 'events' AS source_name"
+    " FROM (SELECT DISTINCT station FROM demand), (VALUES ('core'), ('outer')) n(network_id)",
+)
+def _(t: Tables):
+    return tables.stations(t.spark, _published(t)).drop("address", "available_bikes", "longitude")
+
+
+@query(
+    "published_validity",
+    "A11 E41",
+    with_("demand")
+    + "SELECT 'demo:' || network_id || ':' || station AS station_instance_id, station AS provider_station_id,"
+    f" {ts('min(time)')} AS valid_from,"
+    f" {ts('max(time) + INTERVAL 1 HOUR')} AS after_first,"
+    f" {ts('max(time) + to_hours(CAST(more AS INTEGER)) + INTERVAL 1 HOUR')} AS valid_to"
+    " FROM demand, (VALUES ('core', 24), ('outer', 0)) n(network_id, more) GROUP BY network_id, station, more",
+)
+def _(t: Tables):
+    store = _published(t)
+    now = tables.station_instances(t.spark, store).select("station_instance_id", "provider_station_id", "valid_from", "valid_to")
+    log = commits.history(t.spark, store).where("operation LIKE 'publish%'")
+    first = {r["network"]: r["sequence"] for r in _first_publications(t, store, log)}
+    former = [
+        commits.read_table(t.spark, store, f"station_instances/demo/{network}", tables.INSTANCES, commits.snapshot(t.spark, store, sequence))
+        for network, sequence in sorted(first.items())
+    ]
+    before = former[0].unionByName(former[1]).select("station_instance_id", F.col("valid_to").alias("after_first"))
+    return now.join(before, "station_instance_id")
+
+
+def _first_publications(t: Tables, store: str, log):
+    """The first commit that published each of the two networks."""
+    batches = tables.batches(t.spark, store).select("network_id", F.concat(F.lit("publish "), "batch_id").alias("operation"))
+    return log.join(batches, "operation").groupBy(F.col("network_id").alias("network")).agg(F.min("sequence").alias("sequence")).collect()
+
+
+@query(
+    "publication_log",
+    "A11 C7",
+    with_("demand")
+    + "SELECT p.timezone, p.calendar_version, w.name, w.network_id, n.batches, n.published, n.rows,"
+    " (SELECT count(*) FROM demand)::BIGINT AS active_rows FROM (VALUES ('Europe/Paris', 'FR')) p(timezone, calendar_version),"
+    " (VALUES ('core', 'Core'), ('outer', 'Outer')) w(network_id, name) JOIN (SELECT network_id, count(*)::BIGINT AS batches,"
+    " count(*)::BIGINT AS published, sum(c)::BIGINT AS rows FROM (VALUES ('core'), ('core'), ('outer')) b(network_id),"
+    " (SELECT count(*) AS c FROM demand) GROUP BY 1) n ON n.network_id = w.network_id",
+)
+def _(t: Tables):
+    store = _published(t)
+    now = commits.snapshot(t.spark, store)
+    batches = tables.batches(t.spark, store, now)
+    counts = batches.groupBy("provider_id", "network_id").agg(
+        F.count(F.lit(1)).alias("batches"), F.count_if(F.col("status") == "published").alias("published"), F.sum("expected_rows").alias("rows")
+    )
+    active = batches.join(tables.active_versions(t.spark, store, now), ["provider_id", "network_id", "batch_id"])
+    active = active.select("provider_id", "network_id", F.col("expected_rows").alias("active_rows"))
+    all_ = tables.networks(t.spark, store, now).join(tables.providers(t.spark, store, now), "provider_id")
+    return all_.join(counts, ["provider_id", "network_id"]).join(active, ["provider_id", "network_id"]).drop("provider_id")
+
+
 @query(
     "published_rows",
     "A11 B13 B14 B20",
