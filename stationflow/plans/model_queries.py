@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stationflow.functions import clocks
 from stationflow.operators import dataset, features, metrics, models, splits, trips
-from stationflow.plans.bindings import ZONE, Tables, local, with_
+from stationflow.plans.bindings import CTE, ZONE, Tables, local, with_
 from stationflow.plans.demand_queries import feature_sql
 from stationflow.plans.registry import query, r, ts
 from stationflow.session import shared_dir, spread
@@ -544,6 +546,73 @@ def _(t: Tables):
     return _fit_and_score(t, "poisson")
 
 
+@query("count_boosting_model", "I7 I9 I10")
+def _(t: Tables):
+    return _fit_and_score(t, "count_boosting")
+
+
+# The panel of users in place of that of event types.
+_SPLIT = feature_sql(1).replace(f"demand AS ({CTE['demand']})", f"demand AS ({CTE['user_demand']})") + (
+    ", split AS (SELECT *, CASE WHEN target < TIMESTAMP '2024-01-20' THEN 'train' WHEN target < TIMESTAMP '2024-01-25'"
+    " THEN 'validation' ELSE 'test' END AS split FROM features"
+    " WHERE target + INTERVAL 2 HOUR < TIMESTAMP '2024-01-20' OR (target >= TIMESTAMP '2024-01-20'"
+    " AND target + INTERVAL 2 HOUR < TIMESTAMP '2024-01-25') OR target >= TIMESTAMP '2024-01-25') "
+)
+_CHECKED = ("ridge", "tree", "poisson", "count_boosting")
+
+
+@query(
+    "model_checks",
+    "I4 I5 I7 I8 I9 I10",
+    _SPLIT
+    + "SELECT kind AS model, split, count(*)::BIGINT AS rows, round(avg(y), 6)::DOUBLE AS mean_y, 0::BIGINT AS negative,"
+    " 0::BIGINT AS missing, true AS no_worse_than_the_mean, true AS keeps_the_mean"
+    f" FROM split, unnest({list(_CHECKED)}) AS m(kind) GROUP BY 1, 2",
+)
+def _(t: Tables):
+    """What holds for any fit: all rows have a prediction, none is negative; over the training rows the
+    squared error is at most that of the mean, and predictions have the labels' mean."""
+    split = model_split(t)
+    constant = split.where("split = 'train'").agg(F.avg("y")).first()[0]
+    checks = []
+    for kind in _CHECKED:
+        candidate = next(c for c in models.FITTED_CANDIDATES if c.kind == kind)
+        scored = models.predict(models.fit(candidate, split), split)
+        error, far = F.sum((F.col("y") - F.col("prediction")) ** 2), F.sum((F.col("y") - F.lit(constant)) ** 2)
+        train = F.first("split") == "train"
+        checks.append(
+            scored.groupBy(F.lit(kind).alias("model"), "split").agg(
+                F.count(F.lit(1)).alias("rows"), F.avg("y").alias("mean_y"), F.count_if(F.col("prediction") < 0).alias("negative"),
+                F.count_if(F.col("prediction").isNull()).alias("missing"),
+                (~train | (error <= far * (1 + 1e-9))).alias("no_worse_than_the_mean"),
+                (~train | (F.abs(F.avg("prediction") - F.avg("y")) <= 0.01 * F.avg("y"))).alias("keeps_the_mean"),
+            )
+        )
+    return functools.reduce(DataFrame.unionByName, checks)
+
+
+@query(
+    "comparison_checks",
+    "I3 I11 G5 G7",
+    _SPLIT
+    + f", long AS (SELECT split, y, unnest(['Last completed hour', 'Same hour yesterday', 'Same hour last week']) AS model,"
+    " unnest([recent, day, week]) AS p FROM split)"
+    f" SELECT model, {r('avg(abs(y - p)) FILTER (split = $$validation$$)')} AS validation_mae,"
+    f" {r('avg(abs(y - p)) FILTER (split = $$test$$)')} AS mae,"
+    " true AS one_selected, true AS selected_within_tolerance FROM long GROUP BY 1",
+)
+def _(t: Tables):
+    """The baselines of a comparison to the digit, and that one model within the tolerance is selected."""
+    ridge = next(c for c in models.FITTED_CANDIDATES if c.kind == "ridge")
+    table = models.comparison(model_split(t), [*models.BASELINE_CANDIDATES, ridge])
+    facts = table.agg(
+        (F.count_if("selected") == 1).alias("one_selected"),
+        (F.max(F.when(F.col("selected"), F.col("validation_mae"))) <= F.min("validation_mae") * 1.01).alias("selected_within_tolerance"),
+    ).first()
+    rows = table.where("complexity_tier = 0").select("model", "validation_mae", "mae")
+    return rows.withColumns({k: F.lit(v) for k, v in facts.asDict().items()})
+
+
 @query("model_comparison", "I11 G5 G7 C13")
 def _(t: Tables):
     return models.comparison(model_split(t), [*models.BASELINE_CANDIDATES, *models.FITTED_CANDIDATES])
