@@ -673,3 +673,64 @@ def _(t: Tables):
     low = _event_stream(t).where("value % 11 < 3")
     stream = low.select(F.col("user_id").cast("string").alias("station"), F.col("ts").cast("timestamp").alias("time"))
     return _drain(t, streams.streaming_event_runs(stream), "stream-runs")
+
+
+@query(
+    "streaming_raw_runs",
+    "S2 F4",
+    "WITH e AS (SELECT CAST(user_id AS VARCHAR) AS station, ts AS time, coalesce(value % 11 < 7, false) AS event FROM events),"
+    " f AS (SELECT *, lag(time) OVER w AS before, lag(event) OVER w AS was FROM e WINDOW w AS (PARTITION BY station ORDER BY time, event)),"
+    " n AS (SELECT *, sum((event AND NOT coalesce(was AND epoch_us(time - before) BETWEEN 1 AND 21600000000, false))::INT)"
+    " OVER (PARTITION BY station ORDER BY time, event) AS run FROM f)"
+    f" SELECT station, {ts('min(time)')} AS start, {ts('max(time)')} AS \"end\", count(*) AS samples,"
+    f" {r('epoch_us(max(time) - min(time)) / 60000000.0::DOUBLE')} AS span_minutes FROM n WHERE event GROUP BY station, run",
+)
+def _(t: Tables):
+    samples = _event_stream(t).select(
+        F.col("user_id").cast("string").alias("station"), F.col("ts").cast("timestamp").alias("time"), (F.col("value") % 11 < 7).alias("low")
+    )
+    return _drain(t, streams.streaming_event_runs(samples, max_gap_minutes=360, event="low"), "stream-raw-runs")
+
+
+def _replay_parts(t: Tables) -> list[DataFrame]:
+    """Three files of a stream: most events; half of those held back; then the others, and a third of the
+    first file once more."""
+    kept = t.events.where("event_id % 10 != 0")
+    last = t.events.where("event_id % 20 = 10").unionByName(kept.where("event_id % 3 = 0"))
+    return [kept, t.events.where("event_id % 20 = 0"), last]
+
+
+@query(
+    "stream_accounts",
+    "S1 E1",
+    "WITH kept AS (SELECT * FROM events WHERE event_id % 10 <> 0), mark AS (SELECT max(ts) + INTERVAL 30 MINUTE - INTERVAL 2 HOUR AS w FROM kept),"
+    " last AS (SELECT * FROM events WHERE event_id % 20 = 10 UNION ALL SELECT * FROM kept WHERE event_id % 3 = 0),"
+    " both_ends AS (SELECT event_id, ts AS time FROM last UNION ALL SELECT event_id, ts + INTERVAL 30 MINUTE FROM last),"
+    " n AS (SELECT (SELECT 2 * count(*) FROM events WHERE event_id % 20 <> 10) AS first, count(*) AS again, count_if(time <= w) AS late,"
+    " count_if(time > w AND event_id % 10 <> 0) AS duplicates FROM both_ends, mark)"
+    " SELECT (first + again)::BIGINT AS events, late::BIGINT AS late, duplicates::BIGINT AS duplicates,"
+    " (first + again - late - duplicates)::BIGINT AS counted FROM n",
+)
+def _(t: Tables):
+    folder = shared_dir(t.spark, "replay")
+    for k, part in enumerate(_replay_parts(t)):
+        part.coalesce(1).write.parquet(f"{folder}/part={k}")
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    start = F.col("ts").cast("timestamp")
+    trips_ = stream.select(
+        "event_id", start.alias("started"), clocks.shift_minutes(start, 30).alias("ended"),
+        F.col("event_type").alias("origin"), F.col("user_id").cast("string").alias("destination"),
+    )
+    account = streams.RowAccount("replay")
+    t.spark.streams.addListener(account)
+    try:
+        rows = _drain(t, streams.streaming_station_hours(trips.mark_events(trips_), "event_id", account="replay"), "stream-accounts")
+        emitted = rows.agg(F.coalesce(F.sum(F.col("departures") + F.col("arrivals")), F.lit(0)).alias("n")).first()["n"]
+        t.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        t.spark.streams.removeListener(account)
+    found = account.totals()
+    if found["emitted"] != emitted:
+        raise ValueError(f"the account tells {found['emitted']} emitted events, the table has {emitted}")
+    row = (found["events"], found["late"], found["duplicates"], found["emitted"] + found["open"])
+    return t.spark.createDataFrame([row], "events bigint, late bigint, duplicates bigint, counted bigint")
