@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUANTILE_RANGES = 128
+OCTAVE_BUCKETS = 256
 
 
 def _window(keys: Sequence[str]) -> Window:
@@ -65,6 +65,14 @@ def with_global_rank(
     return ranked.select(*df.columns, position, *([total] if total else []))
 
 
+def value_bucket(value: Column) -> Column:
+    """A whole number that never falls as the value grows: sign and binary order of magnitude, each octave
+    in `OCTAVE_BUCKETS` parts."""
+    size = F.abs(value)
+    part = F.least(F.floor(F.log2(size) * OCTAVE_BUCKETS), F.lit(2000 * OCTAVE_BUCKETS)) + F.lit(2000 * OCTAVE_BUCKETS)
+    return F.when(size == 0, 0).when(F.isnan(value), F.lit(5000 * OCTAVE_BUCKETS)).otherwise(F.signum(value) * part).cast("bigint")
+
+
 def exact_quantiles(
     df: DataFrame,
     value: str,
@@ -76,55 +84,51 @@ def exact_quantiles(
 
     `also` names further aggregates over the value counts: columns `_v` (value) and `_n` (rows).
 
-    Equal values are counted first (combined before the shuffle), then ranked inside value
-    ranges. The borders of the ranges are approximate percentiles of the key's own distinct values,
-    so each range holds about the same number of them; they only deal out the work, the ranks are
-    exact. The built-in `percentile` would hold every distinct value of a key in one buffer.
+    Equal values are counted first (combined before the shuffle). A histogram of them per key, as long
+    as the range of magnitudes, tells which buckets hold a wanted rank; only the values of those are
+    sorted. So `df` is read once and its counts twice, and no task sorts a key. The built-in
+    `percentile` would hold every distinct value of a key in one buffer.
     """
     keys = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_bucket", value_bucket(F.col("_v")))
     )
-    shares = F.array(*[F.lit(i / QUANTILE_RANGES) for i in range(1, QUANTILE_RANGES)])
-    borders = counts.groupBy(*keys).agg(
-        F.percentile_approx("_v", shares, 10 * QUANTILE_RANGES).alias("_borders")
-    )
-    counts = counts.join(borders, keys) if keys else attach_row(counts, borders)
-    above = F.size(F.filter("_borders", lambda b: b <= F.col("_v")))
-    counts = counts.withColumn("_bucket", above).drop("_borders")
-    sizes = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
     w = _window(keys)
-    before = F.sum("_size").over(w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(
-        *keys,
-        "_bucket",
-        F.coalesce(before, F.lit(0)).alias("_before"),
-        F.sum("_size").over(w).alias("_total"),
-    )
-    inside = F.sum("_n").over(_window([*keys, "_bucket"]).orderBy("_v"))
-    ranked = (
-        counts.withColumn("_inside", inside)
-        .join(offsets, [*keys, "_bucket"])
-        .withColumn("_end", F.col("_inside") + F.col("_before"))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
+    sized = counts.groupBy(*keys, "_bucket").agg(F.sum("_n").alias("_size"))
+    placed = sized.withColumns(
+        {"_upto": F.sum("_size").over(w.orderBy("_bucket")), "_total": F.sum("_size").over(w)}
+    ).withColumn("_before", F.col("_upto") - F.col("_size"))
+
+    def ranks(p: float) -> list[Column]:
+        at = F.lit(p) * (F.col("_total") - 1)
+        return [F.floor(at), F.ceil(at)]
+
+    wanted = F.lit(False)
+    for p in probabilities.values():
+        for rank in ranks(p):
+            wanted = wanted | ((F.col("_before") <= rank) & (rank < F.col("_upto")))
+    targets = placed.where(wanted).select(*keys, "_bucket", "_before", "_total")
+    end = F.sum("_n").over(_window([*keys, "_bucket"]).orderBy("_v")) + F.col("_before")
+    ranked = counts.join(targets, [*keys, "_bucket"]).withColumn("_end", end).withColumn("_start", F.col("_end") - F.col("_n"))
     picks = []
     for label, p in probabilities.items():
-        at = F.lit(p) * (F.col("_total") - 1)
-        for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+        for side, rank in zip(("lo", "hi"), ranks(p)):
             here = (F.col("_start") <= rank) & (rank < F.col("_end"))
             picks.append(F.max(F.when(here, F.col("_v"))).alias(f"_{label}_{side}"))
-    also = dict(also or {})
-    extra = [c.alias(n) for n, c in also.items()]
-    picked = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks, *extra)
+    picked = ranked.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
     result = []
     for label, p in probabilities.items():
         at = F.lit(p) * (F.col("_total") - 1)
         low, high = F.col(f"_{label}_lo"), F.col(f"_{label}_hi")
         result.append((low + (high - low) * (at - F.floor(at))).alias(label))
-    return picked.select(*keys, *result, *also)
+    quantiles = picked.select(*keys, *result)
+    if not also:
+        return quantiles
+    extra = counts.groupBy(*keys).agg(*[c.alias(n) for n, c in also.items()])
+    return quantiles.join(extra, keys) if keys else attach_row(quantiles, extra)
 
 
 def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:

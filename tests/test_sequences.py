@@ -79,6 +79,36 @@ def test_quantiles_are_exact(spark):
     assert got == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("values", [
+    [-1e300, -2.5, -2.4999999, -1e-300, 0.0, -0.0, 1e-320, 3.0, 1e300],
+    [1.7e9 + k for k in range(300)],
+    [5.0] * 400,
+    [float(k % 7 - 3) for k in range(1001)],
+])
+def test_quantiles_of_any_magnitude_per_key(spark, values):
+    data = [("a", v) for v in values] + [("b", -v) for v in values[:5]] + [("c", None)]
+    df = spark.createDataFrame(data, "k string, v double")
+    wanted = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.99, "e": 1.0}
+    also = {"n": F.sum("_n"), "top": F.max("_v")}
+    got = {r["k"]: r.asDict() for r in sequences.exact_quantiles(df, "v", wanted, ["k"], also).collect()}
+    assert got.keys() == {"a", "b"}
+    for key, row in got.items():
+        own = [v for k, v in data if k == key]
+        for name, p in wanted.items():
+            at = p * (len(own) - 1)
+            low, high = (sorted(own)[int(r)] for r in (at // 1, -(-at // 1)))
+            assert row[name] == low + (high - low) * (at - at // 1)
+        assert (row["n"], row["top"]) == (len(own), max(own))
+
+
+def test_value_buckets_never_fall(spark):
+    pick = random.Random(8)
+    values = sorted(pick.choice([-1, 1]) * 2 ** pick.uniform(-1070, 1020) for _ in range(3000)) + [float("inf")]
+    df = spark.createDataFrame([(v,) for v in [float("-inf"), *values]], "v double")
+    buckets = [r[0] for r in df.orderBy("v").select(sequences.value_bucket(F.col("v"))).collect()]
+    assert buckets == sorted(buckets) and len(set(buckets)) > 2500
+
+
 def test_global_rank_is_a_total_order(spark):
     df = spark.createDataFrame([(i * 37 % 1000,) for i in range(1000)], "v int")
     ranked = sequences.with_global_rank(df, ["v"], F.floor(F.col("v") / 50), total="n")
