@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from stationflow.operators import audits, canonical, dataset, features, profiles, sequences, splits
 from stationflow.plans.bindings import ZONE, Tables, local, with_
 from stationflow.plans.registry import query, r, ts
+from stationflow.session import shared_dir
+from stationflow.sources import commits, lookups
 
 
 # --- canonical layer ----------------------------------------------------------------------------
@@ -413,6 +415,47 @@ def _(t: Tables):
     return dataset.keyed_lookup(t.demand.drop("arrivals"), keys, ["station", "time"])
 
 
+def _stored_demand(t: Tables) -> str:
+    """The demand of users laid out by station, then once more with one station's departures raised."""
+    store = shared_dir(t.spark, "lookups")
+    demand = t.user_demand
+    lookups.save_keyed_table(demand, store, "demand", ["station"], 32)
+    raised = F.when(F.col("station") == "7", F.col("departures") + 1).otherwise(F.col("departures"))
+    lookups.save_keyed_table(demand.withColumn("departures", raised), store, "demand", ["station"], 32)
+    return store
+
+
+@query(
+    "stored_lookup",
+    "A16 D15",
+    with_("user_demand")
+    + f"SELECT 'one' AS way, station, {ts('time')} AS time, departures + (station = '7')::BIGINT AS departures FROM user_demand"
+    f" WHERE station = '7' UNION ALL SELECT 'many', station, {ts('time')}, departures + (station = '7')::BIGINT FROM user_demand"
+    " WHERE station IN (SELECT CAST(user_id AS VARCHAR) FROM events WHERE value > 50)",
+)
+def _(t: Tables):
+    store = _stored_demand(t)
+    one = lookups.lookup(t.spark, store, "demand", {"station": 7})
+    wanted = t.events.where("value > 50").select(F.col("user_id").cast("string").alias("station"))
+    many = lookups.lookup_many(t.spark, store, "demand", wanted)
+    both = one.withColumn("way", F.lit("one")).unionByName(many.withColumn("way", F.lit("many")))
+    return both.select("way", "station", "time", "departures")
+
+
+@query(
+    "version_difference",
+    "E30 E46 D8 D9",
+    with_("user_demand")
+    + f"SELECT c.change, station, {ts('time')} AS time, departures + c.more AS departures, arrivals, 1::BIGINT AS copies"
+    " FROM user_demand, (VALUES ('removed', 0), ('added', 1)) c(change, more) WHERE station = '7'",
+)
+def _(t: Tables):
+    store = _stored_demand(t)
+    first, second = (commits.snapshot(t.spark, store, k) for k in (1, 2))
+    rows = lookups.changed_rows(t.spark, store, "demand", first, second)
+    return rows.select("change", "station", "time", "departures", "arrivals", "copies")
+
+
 @query(
     "dataset_catalog",
     "A15",
