@@ -86,13 +86,11 @@ def export_key(station: Column) -> Column:
 def station_codes(stations: DataFrame, station: str = "station") -> DataFrame:
     """(station, station_code): position of each distinct id in text order, from zero.
 
-    Ranks within four-character prefixes and adds the count of earlier prefixes, so no task
-    holds all identifiers.
+    Ranks within sampled ranges of the ids and adds the count of earlier ranges, so no task
+    holds all identifiers, however alike they begin.
     """
     from stationflow.operators.sequences import with_global_rank
 
     distinct = stations.select(F.col(station).cast("string").alias(station)).distinct()
-    ranked = with_global_rank(
-        distinct, [station], F.substring(station, 1, 4), name="station_code"
-    )
+    ranked = with_global_rank(distinct, [station], name="station_code")
     return ranked.withColumn("station_code", F.col("station_code") - 1)

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stationflow.session import shared_dir
+
 OCTAVE_BUCKETS = 256
 
 
@@ -42,27 +44,30 @@ def with_previous(
 
 
 def with_global_rank(
-    df: DataFrame,
-    order: Sequence[str],
-    bucket: Column,
-    keys: Sequence[str] = (),
-    name: str = "rank",
-    total: str | None = None,
+    df: DataFrame, order: Sequence[str], name: str = "rank", total: str | None = None
 ) -> DataFrame:
-    """1-based position in the order, per key or over the whole table; `total` adds the size."""
-    keys = list(keys)
-    rows = df.withColumn("_bucket", bucket)
-    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    w = _window(keys)
-    before = F.sum("_size").over(w.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    """1-based position of each row in the order of the whole table; `total` adds the size.
+
+    Rows are dealt by ranges whose borders the engine samples from the order itself, so neither a
+    common prefix nor a common day fills one task. A row's place in its partition plus the rows of
+    the partitions before it is its rank; only one count per partition meets in one task. Equal rows
+    of the order have no places of their own, so `order` should name a unique key.
+    """
+    dealt = df.repartitionByRange(*[F.col(c).asc_nulls_first() for c in order])
+    # Written once: the counts and the ranks must see the same partitions.
+    path = shared_dir(df.sparkSession, "ranked")
+    placed = dealt.sortWithinPartitions(*[F.col(c).asc_nulls_first() for c in order]).withColumn("_id", F.monotonically_increasing_id())
+    placed.write.parquet(path)
+    rows = df.sparkSession.read.schema(placed.schema).parquet(path)
+    part = F.shiftright("_id", 33)
+    sizes = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    w = Window.partitionBy(F.lit(0))
+    before = F.sum("_size").over(w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     extra = [F.sum("_size").over(w).alias(total)] if total else []
-    offsets = sizes.select(*keys, "_bucket", F.coalesce(before, F.lit(0)).alias("_before"), *extra)
-    local = rows.withColumn(
-        "_position", F.row_number().over(_window([*keys, "_bucket"]).orderBy(*order))
-    )
-    ranked = local.join(offsets, [*keys, "_bucket"])
-    position = (F.col("_position") + F.col("_before")).cast("bigint").alias(name)
-    return ranked.select(*df.columns, position, *([total] if total else []))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"), *extra)
+    inside = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    ranked = rows.withColumn("_part", part).join(offsets, "_part")
+    return ranked.select(*df.columns, (inside + F.col("_before") + 1).alias(name), *([total] if total else []))
 
 
 def value_bucket(value: Column) -> Column:

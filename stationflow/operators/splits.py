@@ -21,7 +21,7 @@ def row_fraction_split(
     unknown = F.raise_error(F.lit("times must be known before a chronological split"))
     series = series.withColumn(time, F.coalesce(F.col(time), unknown))
     ranked = with_global_rank(
-        series, [time], F.date_trunc("day", F.col(time)), name="_rank", total="_total"
+        series, [time], name="_rank", total="_total"
     )
     train_end = F.floor(F.col("_total") * train)
     validation_end = train_end + F.floor(F.col("_total") * validation)
@@ -49,7 +49,7 @@ def split_boundaries(
     """One row with the six boundary instants over the distinct times of a dataset."""
     distinct = dataset.select(time).distinct()
     ranked = with_global_rank(
-        distinct, [time], F.date_trunc("day", F.col(time)), name="_rank", total="_total"
+        distinct, [time], name="_rank", total="_total"
     )
     total = F.col("_total")
     train_at = F.greatest(F.lit(0), F.floor(total * train) - 1) + 1

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stationflow.functions import measures
-from stationflow.sources.trips import numbered_rows, read_text_csv
+from stationflow.session import ship_package
+from stationflow.sources.commits import folder
+from stationflow.sources.trips import read_text_csv
 
 _VALUES = ("temperature_2m", "precipitation", "rain", "wind_speed_10m")
 # Fixed column candidates of station masters, in order of preference.
@@ -80,32 +84,78 @@ def read_station_master(spark: SparkSession, paths: str | Sequence[str], sep: st
     return station_master(read_text_csv(spark, paths, sep))
 
 
+# A Mersenne prime and a base below it.
+_PRIME, _BASE = (1 << 127) - 1, 0x9E3779B97F4A7C15F39CC0605CEDC835
+
+
+def _split_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, start, hash, power) of each split: its lines as digits of one number, and base ** lines."""
+    now, number, power = None, 0, 1
+
+    def row() -> pa.RecordBatch:
+        cells = [[now[0]], [now[1]], [f"{number:x}"], [f"{power:x}"]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["path", "start", "hash", "power"])
+
+    for batch in batches:
+        for path, start, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (path, start) != now:
+                if now is not None:
+                    yield row()
+                now, number, power = (path, start), 0, 1
+            digit = int.from_bytes(hashlib.blake2b(line, digest_size=16).digest(), "big") + 1
+            number, power = (number * _BASE + digit) % _PRIME, power * _BASE % _PRIME
+    if now is not None:
+        yield row()
+
+
+def _file_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, bytes, digest): the numbers of a file's splits, in order, put together."""
+    for batch in batches:
+        digests = []
+        for size, splits in zip(batch.column("bytes").to_pylist(), batch.column("splits").to_pylist(), strict=True):
+            number = 0
+            for s in splits:
+                number = (number * int(s["power"], 16) + int(s["hash"], 16)) % _PRIME
+            digests.append(hashlib.sha256(f"{size}|{number:x}".encode()).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(digests, pa.string())], ["path", "bytes", "digest"])
+
+
+def _empty_files(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, int]]:
+    """Files without a byte, which no reader lists."""
+    found = []
+    for pattern in [paths] if isinstance(paths, str) else paths:
+        files, target = folder(spark, pattern)
+        for status in files.globStatus(target) or ():
+            for file in files.listStatus(status.getPath()) if status.isDirectory() else (status,):
+                name = file.getPath().getName()
+                if file.isFile() and not file.getLen() and not name.startswith(("_", ".")):
+                    found.append((file.getPath().toUri().toString(), 0))
+    return sorted(set(found))
+
+
 def source_manifest(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(path, bytes, digest, first_path, duplicate): identity of every source file.
+    """(path, bytes, digest, first_path, duplicate): identity of every source file, empty ones too.
 
-    The digest covers the size and every line with its number in the file: the SHA-256 of each
-    numbered line, summed by 32-bit words, hashed once more. Files with the same lines in another
-    order or with other line ends differ. The rule is the same at every size, and all splits of a file
-    are read side by side. Empty files hold nothing to read and are not listed.
+    The digest covers the size and the lines in their order: a file is a number whose digits are
+    hashes of its lines. Numbers of neighbouring splits combine by one product and one sum, so each
+    split is read once, wherever it lies, and the result does not depend on how files are split.
+    Files with the same lines in another order or with other line ends differ.
     """
+    ship_package(spark)
     files = spark.read.format("binaryFile").load(paths).select(
         F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes")
     )
-    lines = numbered_rows(spark.read.option("lineSep", "\n").text(paths))
-    marked = lines.select(
-        F.col("file").alias("path"),
-        F.sha2(F.concat(F.concat(F.col("file_row").cast("string"), F.lit(":")).cast("binary"), F.col("value").cast("binary")), 256).alias("_h"),
+    files = files.unionByName(spark.createDataFrame(_empty_files(spark, paths), "path string, bytes bigint"))
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line")
     )
-    words = [
-        F.sum(F.conv(F.substring("_h", 8 * i + 1, 8), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"_{i}")
-        for i in range(8)
-    ]
-    sums = marked.groupBy("path").agg(*words)
-    digest = F.sha2(F.concat_ws("|", F.col("bytes").cast("string"), *[F.col(f"_{i}") for i in range(8)]), 256)
-    listed = files.join(sums, "path").select("path", "bytes", digest.alias("digest"))
-    first = listed.groupBy("digest").agg(F.min("path").alias("first_path"))
-    return listed.join(first, "digest").select(
-        "path", "bytes", "digest", "first_path", (F.col("path") != F.col("first_path")).alias("duplicate")
+    splits = lines.mapInArrow(_split_hashes, "path string, start bigint, hash string, power string")
+    per_file = splits.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("start", "hash", "power"))).alias("splits"))
+    joined = files.join(per_file, "path", "left").select("path", "bytes", F.coalesce("splits", F.array().cast(per_file.schema["splits"].dataType)).alias("splits"))
+    listed = joined.mapInArrow(_file_hashes, "path string, bytes bigint, digest string")
+    first = listed.groupBy("digest").agg(F.min("path").alias("first_path"), F.collect_list(F.struct("path", "bytes")).alias("files"))
+    return first.select("digest", "first_path", F.explode("files").alias("f")).select(
+        "f.path", "f.bytes", "digest", "first_path", (F.col("f.path") != F.col("first_path")).alias("duplicate")
     )
 
 

@@ -111,10 +111,30 @@ def test_value_buckets_never_fall(spark):
 
 def test_global_rank_is_a_total_order(spark):
     df = spark.createDataFrame([(i * 37 % 1000,) for i in range(1000)], "v int")
-    ranked = sequences.with_global_rank(df, ["v"], F.floor(F.col("v") / 50), total="n")
+    ranked = sequences.with_global_rank(df, ["v"], total="n")
     assert all(r["rank"] == r["v"] + 1 and r["n"] == 1000 for r in ranked.collect())
 
 
+def test_ranks_stay_balanced_with_one_common_prefix(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(sequences, "shared_dir", lambda spark, purpose: str(tmp_path / purpose))
+    df = spark.range(20_000, numPartitions=5).select(F.format_string("station-of-madrid-%05d", F.col("id")).alias("s"))
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        ranked = sequences.with_global_rank(df, ["s"])
+        assert ranked.where("rank <> cast(right(s, 5) AS bigint) + 1").count() == 0
+        stored = spark.read.parquet(str(tmp_path / "ranked"))
+        rows_of = stored.select(F.input_file_name().alias("f")).groupBy("f").count()  # one file per range
+        sizes = [r["count"] for r in rows_of.collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert len(sizes) == 4 and max(sizes) < 2 * 20_000 / 4
+
+
+def test_ranks_of_an_empty_table(spark):
+    assert sequences.with_global_rank(spark.createDataFrame([], "v int"), ["v"], total="n").count() == 0
+
+
 def test_one_row_per_key_is_ordered(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, None)], "k string, o int, v string")
     assert rows(sequences.one_row_per_key(df, ["k"], ["o"])) == [("a", 1, "y"), ("b", 5, None)]
