@@ -318,3 +318,41 @@ def seasonal_naive_forecast(
     )
     forecast = F.greatest(F.col(value).cast("double"), F.lit(0.0)).alias("forecast")
     return steps.where(F.col("step") <= horizon).select(key, "step", forecast)
+
+
+def held_out_scores(
+    actual: DataFrame, history: DataFrame, key: str, time: str, value: str, seasonality: int | None = None
+) -> DataFrame:
+    """Errors of the naive and the seasonal naive forecast of `history` over the `actual` rows behind it.
+
+    One row per key of `actual`: `naive_mae`, `naive_rmse`, `naive_r2`, and the same of `seasonal_naive`,
+    null where the key's history is shorter than `seasonality` or that is under 2. R2 is null when all
+    actual values are equal. A key without history stops the job. Only the newest `seasonality` rows
+    of a key's history are kept.
+    """
+    season = max(seasonality or 1, 1)
+    newest = Window.partitionBy(key).orderBy(F.desc(time))
+    tail = (
+        history.withColumn("_age", F.row_number().over(newest))
+        .where(F.col("_age") <= season)
+        .groupBy(key)
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("_age")).alias("at"), F.greatest(F.col(value).cast("double"), F.lit(0.0)).alias("v")))).alias("_tail"))
+    )
+    step = F.row_number().over(Window.partitionBy(key).orderBy(time))
+    rows = actual.select(key, F.col(value).cast("double").alias("_y"), step.alias("_step")).join(tail, key, "left")
+    known = F.coalesce("_tail", F.raise_error(F.lit("training history is required")))
+    rows = rows.withColumn("_tail", known)
+    last = F.element_at("_tail", -1)["v"]
+    full = (F.size("_tail") == season) & F.lit(season > 1)
+    placed = F.when(full, F.element_at("_tail", F.least(F.col("_step"), F.lit(season)))["v"])
+    out = []
+    for name, forecast in (("naive", last), ("seasonal_naive", placed)):
+        error = F.col("_y") - forecast
+        fit = F.sum(error * error)
+        spread = F.sum(F.col("_y") * F.col("_y")) - F.sum("_y") * F.sum("_y") / F.count("_y")
+        out += [
+            F.avg(F.abs(error)).alias(f"{name}_mae"),
+            F.sqrt(F.avg(error * error)).alias(f"{name}_rmse"),
+            F.when(F.min("_y") < F.max("_y"), 1 - fit / spread).alias(f"{name}_r2"),
+        ]
+    return rows.groupBy(key).agg(*out)

@@ -813,6 +813,32 @@ def _(t: Tables):
     return split.groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query(
+    "held_out_scores",
+    "F10",
+    with_(
+        "user_demand",
+        known="SELECT *, row_number() OVER (PARTITION BY station ORDER BY time DESC) AS age, count(*) OVER (PARTITION BY station) AS n"
+        " FROM user_demand WHERE time < TIMESTAMP '2024-01-20'",
+        unseen="SELECT station, departures::DOUBLE AS y, row_number() OVER (PARTITION BY station ORDER BY time) AS step"
+        " FROM user_demand WHERE time >= TIMESTAMP '2024-01-20' AND station IN (SELECT station FROM known)",
+        scored="SELECT u.station, y, l.departures::DOUBLE AS naive, s.departures::DOUBLE AS seasonal FROM unseen u"
+        " JOIN known l ON l.station = u.station AND l.age = 1 LEFT JOIN known s ON s.station = u.station AND s.n >= 24"
+        " AND s.age = 25 - least(u.step, 24)",
+        tops="SELECT station, count(*) AS n, min(y) < max(y) AS varied, sum(y * y) - sum(y) * sum(y) / count(*) AS sst,"
+        " avg(abs(y - naive)) AS a, avg((y - naive) ** 2) AS b, avg(abs(y - seasonal)) AS c, avg((y - seasonal) ** 2) AS d FROM scored GROUP BY 1",
+    )
+    + f"SELECT station, {r('a')} AS naive_mae, {r('sqrt(b)')} AS naive_rmse, CASE WHEN varied THEN {r('1 - b * n / sst')} END AS naive_r2,"
+    f" {r('c')} AS seasonal_naive_mae, {r('sqrt(d)')} AS seasonal_naive_rmse,"
+    f" CASE WHEN varied THEN {r('1 - d * n / sst')} END AS seasonal_naive_r2 FROM tops",
+)
+def _(t: Tables):
+    border = F.col("time") < F.lit("2024-01-20").cast("timestamp")
+    known = t.user_demand.where(border)
+    unseen = t.user_demand.where(~border).join(known.select("station").distinct(), "station", "left_semi")
+    return sequences.held_out_scores(unseen, known, "station", "time", "departures", 24)
+
+
 @query(
     "seasonal_naive_forecast",
     "F10",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stationflow.functions import clocks
@@ -13,6 +13,8 @@ from stationflow.schemas import SNAPSHOT_DOCUMENT
 # A quote that no odd run of backslashes escapes: pieces between them are outside and inside in turn.
 _QUOTE = r'(?<!(?<!\\)(?:\\\\){0,40}\\)"'
 _FIRST_KEY = '"_id"'
+# A quoted string, taken whole, so that braces in it do not count.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 
 
 def decoded_text(data: Column) -> Column:
@@ -79,19 +81,64 @@ def read_snapshot_lines(spark: SparkSession, paths: str | Sequence[str]) -> Data
     return _stations(parsed, "d", "file")
 
 
-def read_snapshot_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Files of adjacent, possibly pretty-printed documents, whose first field is `_id`.
+def document_texts(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(file, text) of each top-level JSON object in files of adjacent, possibly pretty-printed objects.
 
-    Lines end at that field's name, so splits of a file are read side by side, whatever its size: each
-    piece is one document without its opening, followed by the brace that opens the next one. `_id`
-    as another field's name or value makes a document unreadable and fails the read.
+    A quoted string never spans lines, so the depth a line adds is known from the line alone, and a
+    closing brace right before an opening one only occurs between documents. Depths and document
+    numbers are running sums: within each split of a file, and over one row per split. Files are read
+    once and their splits side by side; text behind a last brace that never closes fails the read.
     """
-    pieces = spark.read.option("lineSep", _FIRST_KEY).text(paths).select(
-        decoded_text(F.col("value").cast("binary")).alias("piece"), F.col("_metadata.file_path").alias("file")
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("split"),
+        F.monotonically_increasing_id().alias("row"),
+        decoded_text(F.col("value").cast("binary")).alias("line"),
     )
-    opening = F.col("piece").rlike(r"^\s*\{?\s*$")
-    text = F.concat(F.lit("{" + _FIRST_KEY), F.regexp_replace("piece", r"\{\s*$", ""))
-    documents = pieces.where(~opening).select(unwrapped_numbers(text).alias("text"), "file")
+    # The border between two documents gets a mark that no text holds. Strings are stepped over: the mark
+    # also follows each of them and is taken back there.
+    marked = F.regexp_replace("line", rf"({_STRING})|\}}(?=\s*\{{)", "$1\uffff")
+    marked = F.regexp_replace(marked, rf"({_STRING})\uffff", "$1")
+    listed = lines.withColumn("pieces", F.split(F.when(F.col("line").rlike(r"\}\s*\{"), marked).otherwise(F.col("line")), "\uffff"))
+    parted = listed.select("file", "split", "row", F.size("pieces").alias("parts"), F.posexplode("pieces").alias("part", "piece"))
+    whole = F.when(F.col("part") < F.col("parts") - 1, F.concat("piece", F.lit("}"))).otherwise(F.col("piece"))
+    sized = parted.select("file", "split", "row", "part", whole.alias("piece")).where(F.trim("piece") != "")
+    bare = F.regexp_replace("piece", _STRING, "")
+    braces = sized.select("*", F.regexp_replace(bare, "[^{}]", "").alias("braces"))
+    deltas = braces.select("*", (2 * F.length(F.replace("braces", F.lit("}"))) - F.length("braces")).alias("delta")).drop("braces")
+    inside = Window.partitionBy("file", "split").orderBy("row", "part")
+    depth = deltas.withColumn("depth", F.sum("delta").over(inside))
+    per_split = depth.groupBy("file", "split").agg(F.sum("delta").alias("delta"))
+    before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_split.select("file", "split", F.coalesce(F.sum("delta").over(before), F.lit(0)).alias("carried"))
+    placed = depth.join(carried, ["file", "split"]).withColumn("depth", F.col("depth") + F.col("carried"))
+    ends = placed.withColumn("ends", (F.col("depth") == 0).cast("bigint"))
+    # A piece belongs to the document that ends with it or after it.
+    numbered = ends.withColumn("number", F.sum("ends").over(inside) - F.col("ends"))
+    ends_of = ends.groupBy("file", "split").agg(F.sum("ends").alias("ends"))
+    shift = ends_of.select("file", "split", F.coalesce(F.sum("ends").over(before), F.lit(0)).alias("shift"))
+    parts = numbered.join(shift, ["file", "split"]).withColumn("number", F.col("number") + F.col("shift"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("split", "row", "part", "piece"))), lambda p: p["piece"])
+    return parts.groupBy("file", "number").agg(F.array_join(texts, "\n").alias("text")).select("file", "text")
+
+
+def read_snapshot_documents(spark: SparkSession, paths: str | Sequence[str], any_order: bool = False) -> DataFrame:
+    """Files of adjacent, possibly pretty-printed documents. Bad JSON fails the read.
+
+    By default `_id` is the first field of a document: lines end at that field's name, so splits of a
+    file are read side by side, each piece being one document without its opening, followed by the
+    brace that opens the next one; `_id` elsewhere makes a document unreadable. With `any_order`
+    documents are told apart by their braces (`document_texts`), which takes two shuffles.
+    """
+    if any_order:
+        documents = document_texts(spark, paths).select(unwrapped_numbers(F.col("text")).alias("text"), "file")
+    else:
+        pieces = spark.read.option("lineSep", _FIRST_KEY).text(paths).select(
+            decoded_text(F.col("value").cast("binary")).alias("piece"), F.col("_metadata.file_path").alias("file")
+        )
+        opening = F.col("piece").rlike(r"^\s*\{?\s*$")
+        text = F.concat(F.lit("{" + _FIRST_KEY), F.regexp_replace("piece", r"\{\s*$", ""))
+        documents = pieces.where(~opening).select(unwrapped_numbers(text).alias("text"), "file")
     parsed = documents.select(
         F.from_json("text", SNAPSHOT_DOCUMENT, {"mode": "FAILFAST"}).alias("d"), "file"
     )

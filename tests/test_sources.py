@@ -292,3 +292,27 @@ def test_repeated_stations_in_an_upsert(spark):
     old = spark.createDataFrame([("1", "A", 1)], "station string, name string, n int")
     new = spark.createDataFrame([("1", "B", 2), ("1", "C", 3), ("2", "D", 4)], "station string, name string, n int")
     assert rows(tables.upsert_stations(old, new, ["station"], order=["n"])) == [("1", "C", 3), ("2", "D", 4)]
+
+
+@pytest.mark.parametrize("size", ["64", "128MB"])
+def test_documents_in_any_order_and_any_split(spark, tmp_path, size):
+    station = '{"id": "7", "name": "a } { \\" b", "dock_bikes": NumberInt(3)}'
+    one = '{"stations": [%s, %s],\n "_id": "2018-05-01T00:00:00"}' % (station, station.replace('"7"', '"8"'))
+    two = '{\n"note": {"_id": "no", "x": [{}, {}]},\n"_id": "2018-05-01T01:00:00", "stations": [\n%s]\n}' % station
+    path = write(tmp_path, "d.json", one + two + "  " + one.replace("T00", "T02") + "\n\n" + two.replace("T01", "T03") + "\n" + "".join(two.replace("T01", f"T{h:02d}") for h in range(4, 24)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        got = rows(snapshots.read_snapshot_documents(spark, path, any_order=True), "station", "bikes", "name", "time")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(got) == 26 and {r[2] for r in got} == {'a } { " b'} and {r[1] for r in got} == {3.0}
+    assert sorted(r[3][11:13] for r in got if r[0] == "7") == [f"{h:02d}" for h in range(24)]
+
+
+def test_unfinished_documents_fail(spark, tmp_path):
+    path = write(tmp_path, "d.json", '{"_id": "2018-05-01T00:00:00", "stations": []}\n{"_id": "x", "stations": [')
+    with pytest.raises(Exception):
+        snapshots.read_snapshot_documents(spark, path, any_order=True).collect()
