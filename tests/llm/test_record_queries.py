@@ -42,4 +42,4 @@ def test_canonical_text_equals_sql(spark):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op5_quality_classifier", "op7_language_model"}))
 def test_query_runs(spark, name):
     found = QUERIES[name](spark, FOLDER)
-    assert found.columns[0] in ("doc_id", "page_id") and found.count() > 0
+    assert found.columns[0] in ("doc_id", "page_id", "conv_id") and found.count() > 0
