@@ -21,7 +21,7 @@ from stationflow.llm.quality_classifier import fit_quality_model, score_quality
 from stationflow.llm.quality_rules import repetition_report
 from stationflow.llm.records import ID, TEXT
 from stationflow.llm.source_urls import UrlRule, judge_source_urls
-from stationflow.llm.text_pieces import DECODED, PIECE_IDS, decode_pieces, encode_pieces
+from stationflow.llm.text_pieces import DECODED, PIECE_IDS, encode_and_decode
 from stationflow.session import use_utc
 
 # Results that hold hashes of spans, tokens, fingerprints or iterated scores have no SQL form; their
@@ -149,8 +149,7 @@ def sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = str(public_tokenizers.path("piece_bpe_32k.model"))
-    decoded = decode_pieces(encode_pieces(records(spark, folder), vocabulary), vocabulary)
-    return decoded.select(
+    return encode_and_decode(records(spark, folder), vocabulary).select(
         F.col(ID).alias("doc_id"),
         F.size(PIECE_IDS).cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col(PIECE_IDS).cast("array<string>"), ","), 256).alias("ids_sha256"),

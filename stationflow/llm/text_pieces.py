@@ -19,6 +19,7 @@ PIECE_IDS, DECODED = "piece_ids", "decoded_text"
 
 SPACE = "▁"  # how a vocabulary writes a space
 BLOCK = 1 << 20  # code points worked on at once
+ROUND_TRIP_BYTES = 2_000_000  # of texts encoded and decoded at once; a longer text stands alone
 HELD_UNITS = 1_000_000
 ROW_SYMBOLS = 48  # longer units have a heap of their own
 
@@ -349,6 +350,21 @@ def _encode(part: pa.RecordBatch, path: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([part.column(ID), _lists(ids, counts)], ["id", PIECE_IDS])
 
 
+def _texts(codec: PieceCodec, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Decoded rows; the library must give the same."""
+    texts = codec.decode(ids, counts)
+    plain = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if len(counts) else []
+    if codec.v.library.decode(plain, num_threads=1) != texts:
+        raise ValueError("decoding and the sentencepiece library disagree")
+    return pa.array(texts, pa.string())
+
+
+def _both(part: pa.RecordBatch, path: str) -> pa.RecordBatch:
+    codec = piece_codec(path)
+    ids, counts = codec.encode(A.texts_of(part.column(TEXT)))
+    return pa.RecordBatch.from_arrays([part.column(ID), _lists(ids, counts), _texts(codec, ids, counts)], ["id", PIECE_IDS, DECODED])
+
+
 def _few(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most about `limit` ids; a longer row stands alone."""
     for batch in batches:
@@ -368,11 +384,7 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(ids) and not (0 <= ids.min() and ids.max() < len(codec.v.piece_bytes)):
             raise ValueError("a piece id lies outside the vocabulary")
-        texts = codec.decode(ids, counts)
-        plain = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
-        if codec.v.library.decode(plain, num_threads=1) != texts:
-            raise ValueError("decoding and the sentencepiece library disagree")
-        yield pa.RecordBatch.from_arrays([part.column("id"), lists, pa.array(texts, pa.string())], ["id", PIECE_IDS, DECODED])
+        yield pa.RecordBatch.from_arrays([part.column("id"), lists, _texts(codec, ids, counts)], ["id", PIECE_IDS, DECODED])
 
 
 def encode_pieces(records: DataFrame, vocabulary: str) -> DataFrame:
@@ -404,3 +416,11 @@ def decode_pieces(encoded: DataFrame, vocabulary: str) -> DataFrame:
     kind = df.schema["id"].dataType.simpleString()
     found = df.mapInArrow(functools.partial(_decode, path=vocabulary), f"id {kind}, {PIECE_IDS} array<int>, {DECODED} string")
     return found.withColumnRenamed("id", ID)
+
+
+def encode_and_decode(records: DataFrame, vocabulary: str) -> DataFrame:
+    """`encode_pieces` and `decode_pieces` in one pass: `source_record_id`, `piece_ids`, `decoded_text`."""
+    df = source_records(records)
+    kind = df.schema[ID].dataType.simpleString()
+    schema = f"id {kind}, {PIECE_IDS} array<int>, {DECODED} string"
+    return map_records(df, functools.partial(_both, path=vocabulary), schema, ROUND_TRIP_BYTES).withColumnRenamed("id", ID)

@@ -38,6 +38,8 @@ def test_encoding_and_decoding_equal_the_library(spark, library):
     for k, text in enumerate(texts):
         assert found[k].piece_ids == library.encode(text)
         assert found[k].decoded_text == library.decode(found[k].piece_ids)
+    assert by_id(T.encode_and_decode(records(spark, texts), VOCABULARY)) == found
+    assert T.encode_and_decode(records(spark, []), VOCABULARY).count() == 0
 
 
 def test_row_agenda_and_heap_agenda_agree():
