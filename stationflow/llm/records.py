@@ -43,6 +43,18 @@ def source_records(df: DataFrame) -> DataFrame:
     return df.select(F.col(ID).alias(ID), F.coalesce(F.col(TEXT).cast("string"), F.lit("")).alias(TEXT))
 
 
+def records_of_lines(lines: DataFrame) -> DataFrame:
+    """Source records of a provider's text files: rows of `file`, `file_row` and `value`, as
+    `sources.trips.numbered_rows` gives them. The id is file and row number, as in a trip's identity."""
+    return lines.select(F.concat_ws(":", "file", "file_row").alias(ID), F.col("value").alias(TEXT))
+
+
+def records_of_documents(documents: DataFrame) -> DataFrame:
+    """Source records of snapshot documents: rows of `file` and `text`, as `sources.snapshots.document_texts`
+    gives them. The id is the file and a digest of the document; equal documents of a file share it."""
+    return documents.select(F.concat_ws(":", F.col("file"), F.sha2("text", 256)).alias(ID), F.col("text").alias(TEXT))
+
+
 def _walk(batches: Iterator[pa.RecordBatch], *, fn, limit: int) -> Iterator[pa.RecordBatch]:
     for part in chunks(batches, TEXT, limit):
         out = fn(part)
