@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import ZONE, at, hours, one, rows
-from stationflow.operators import dataset, features, metrics, models, splits
+from stationflow.operators import dataset, features, metrics, models, sequences, splits
 from stationflow.operators.canonical import DataRuleError
 
 START = "2022-01-03T00:00:00"
@@ -214,3 +214,22 @@ def test_comparison_selects_on_validation_only(split):
 def test_small_partitions_are_refused(split):
     with pytest.raises(ValueError):
         splits.check_partitions(split.where("split <> 'test'"))
+
+
+def test_held_out_scores_of_the_naive_forecasts(spark):
+    t = hours("2024-01-01T00:00:00", 10)
+    schema = "station string, time timestamp, y double"
+    history = spark.createDataFrame([("a", x, v) for x, v in zip(t, (9.0, 1.0, 2.0, 3.0))] + [("b", t[0], 4.0), ("c", t[0], -5.0)], schema)
+    actual = spark.createDataFrame([("a", t[4 + k], v) for k, v in enumerate((1.0, 2.0, 4.0, 3.0))] + [("b", t[5], 4.0), ("b", t[6], 4.0)], schema)
+    got = {r["station"]: r.asDict() for r in sequences.held_out_scores(actual, history, "station", "time", "y", 3).collect()}
+    # naive: 3 throughout; seasonal: 1, 2, 3, then 3 again
+    assert got["a"] == pytest.approx({
+        "station": "a", "naive_mae": 1.0, "naive_rmse": 1.5**0.5, "naive_r2": -0.2,
+        "seasonal_naive_mae": 0.25, "seasonal_naive_rmse": 0.5, "seasonal_naive_r2": 0.8,
+    })
+    assert got["b"]["naive_mae"] == 0.0 and got["b"]["naive_r2"] is None and got["b"]["seasonal_naive_mae"] is None
+    assert got.keys() == {"a", "b"}
+    plain = one(sequences.held_out_scores(actual.where("station = 'a'"), history, "station", "time", "y"))
+    assert plain["naive_mae"] == 1.0 and plain["seasonal_naive_mae"] is None
+    with pytest.raises(Exception, match="training history"):
+        sequences.held_out_scores(actual, history.where("station = 'b'"), "station", "time", "y").collect()
