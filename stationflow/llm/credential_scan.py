@@ -30,13 +30,15 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}" % MIN_RANDOM_CHA
 _HAS_ASSIGN = r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=] *[\"']?[a-z0-9+/_.=-]{6}"
 _HAS_ACCESS = r"AKIA[A-Z0-9]{16}"
 _HAS_HEX = r"[0-9a-f]{24}"
-_HAS_RUN = r"[0-9][A-Za-z0-9+/_=-]{9}|[A-Za-z0-9+/_=-]{9}[0-9]"
+_HAS_RUN = r"[A-Za-z0-9+/_=-]{%d}" % MIN_RANDOM_CHARS
 
 # Hexadecimal lengths of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
 _DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _PIECES = re.compile(r"[-_/+=]+")
-_ONE_SORT = re.compile(r"(?:[A-Za-z]+|[0-9]+|[0-9]{8}T[0-9]{2,6}Z?|[vV]?[0-9]+|[A-Za-z]+[0-9]{1,4})?")
+_NUMBER = re.compile(r"(?:[0-9]+|[0-9]{8}T[0-9]{2,6}Z?|[vV][0-9]+)?")
+_NAME = re.compile(r"([A-Za-z]+)[0-9]{0,4}")
+_SHORT_NAME = 3  # letters
 
 
 @functools.lru_cache(maxsize=4)
@@ -49,13 +51,23 @@ def _encoding(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def known_digest_or_identifier(run: str) -> bool:
-    """Digests, UUIDs, plain numbers and words, and names made of words and numbers."""
+def known_digest_or_identifier(run: str, tokens: Callable[[str], int], ratio: float = MAX_CHARS_PER_TOKEN) -> bool:
+    """Digests, UUIDs, and names made of numbers and words.
+
+    A word is known by its tokens, not by being made of letters: it has more than `ratio` characters
+    for each, or three letters at most.
+    """
     if len(run) in _DIGEST_CHARS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run):
         return True
     if _UUID.fullmatch(run):
         return True
-    return all(_ONE_SORT.fullmatch(piece) for piece in _PIECES.split(run))
+    for piece in _PIECES.split(run):
+        if _NUMBER.fullmatch(piece):
+            continue
+        name = _NAME.fullmatch(piece)
+        if not name or not (len(name[1]) <= _SHORT_NAME or len(name[1]) > ratio * tokens(name[1])):
+            return False
+    return True
 
 
 def base_spans(text: str, wanted: tuple[bool, bool, bool] = (True, True, True)) -> list[Span]:
@@ -70,15 +82,23 @@ def base_spans(text: str, wanted: tuple[bool, bool, bool] = (True, True, True))
 
 
 def random_spans(text: str, base: list[Span], tokens: Callable[[str], int], ratio: float) -> list[Span]:
-    """Runs that need more than one token per `ratio` characters, outside the base spans."""
-    found = []
+    """Runs that need more than one token per `ratio` characters, outside the base spans.
+
+    Runs and base spans are met side by side, each once, in order.
+    """
+    taken: list[tuple[int, int]] = []  # base spans, overlapping ones as one
+    for start, _, end in sorted(base):
+        if taken and start < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(taken[-1][1], end))
+        else:
+            taken.append((start, end))
+    found, at = [], 0
     for m in _RUN.finditer(text):
-        run = m[0]
-        if known_digest_or_identifier(run) or text.startswith("://", m.start() - 3, m.start()):
-            continue
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at < len(taken) and taken[at][0] < m.end():
             continue
-        if len(run) <= ratio * tokens(run):
+        if len(m[0]) <= ratio * tokens(m[0]) and not known_digest_or_identifier(m[0], tokens, ratio):
             found.append((m.start(), 3, m.end()))
     return found
 
@@ -151,7 +171,7 @@ def find_secrets(
     adds runs of 20 or more characters of an encoded alphabet that the byte-pair `vocabulary` (a
     tiktoken file) needs many tokens for: at most `max_chars_per_token` characters each. Known
     digests, UUIDs and identifiers made of words and numbers are left out, and whatever overlaps
-    a fixed form.
+    a fixed form. A run of letters alone is judged like any other; a word is known by its few tokens.
 
     One row per record, in one pass without a shuffle: `source_record_id`, `n_assign`, `n_access`,
     `n_hex`, `base_sha256` (of the fixed forms), `spans` (`kind:start:end`, all kinds). A null or empty

@@ -3,10 +3,14 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
+import time
 
 from record_tables import by_id, records
 
-from stationflow.llm.credential_scan import find_secrets, known_digest_or_identifier, redacted_records
+from stationflow.llm.credential_scan import (
+    MAX_CHARS_PER_TOKEN, _encoding, _ranks, base_spans, find_secrets, known_digest_or_identifier, random_spans, redacted_records,
+)
 
 RULES = (
     ("assign", r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
@@ -55,7 +59,73 @@ def test_random_strings_and_what_is_left_out(spark):
     found = by_id(find_secrets(records(spark, texts)))
     assert found[0].spans == f"random:4:{4 + len(random_key)}"
     assert [found[i].spans for i in (1, 2, 3, 4)] == ["", "", "", ""]
-    assert known_digest_or_identifier("123456789012345678901234")
+    assert found[5].spans == f"random:{texts[5].index('//', 8)}:{len(texts[5])}"
+    assert known_digest_or_identifier("123456789012345678901234", tokens)
+
+
+def tokens(text):
+    return len(_encoding(_ranks(None)).encode_ordinary(text))
+
+
+def brute_random(text):
+    """Every run against every base span; a run is an identifier if each of its pieces is a number or a word."""
+    base = [(s, e) for s, _, e in base_spans(text)]
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        run = m[0]
+        if len(run) < 20 or any(s < m.end() and m.start() < e for s, e in base):
+            continue
+        digest = len(run) in (32, 40, 56, 64, 96, 128) and re.fullmatch("[0-9a-f]+|[0-9A-F]+", run)
+        uuid = re.fullmatch("(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", run)
+
+        def plain(piece):
+            if re.fullmatch(r"|\d+|\d{8}T\d{2,6}Z?|[vV]\d+", piece):
+                return True
+            letters = piece.rstrip(string.digits)
+            return (
+                letters.isalpha() and len(piece) - len(letters) <= 4
+                and (len(letters) <= 3 or len(letters) / tokens(letters) > MAX_CHARS_PER_TOKEN)
+            )
+
+        if digest or uuid or all(map(plain, re.split("[-_/+=]", run))):
+            continue
+        if len(run) / tokens(run) <= MAX_CHARS_PER_TOKEN:
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_runs_against_brute_force():
+    rng = random.Random(3)
+    sorts = [string.ascii_letters, string.ascii_lowercase, string.ascii_letters + string.digits, "0123456789abcdef", "ab"]
+    words = ["station", "demand", "getStationStatus", "v2", "2021", "20210311T0915Z", "es", "internationalization"]
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.randrange(1, 8)):
+            made = "".join(rng.choice(rng.choice(sorts)) for _ in range(rng.randrange(1, 40)))
+            parts += [rng.choice([made, *words]), rng.choice(["_", "-", "/", " ", ". ", " token=", "\n", ""])]
+        text = "".join(parts)
+        assert random_spans(text, base_spans(text), tokens, MAX_CHARS_PER_TOKEN) == brute_random(text), text
+
+
+def test_letters_alone_are_judged_by_their_tokens(spark):
+    rng = random.Random(8)
+    made = ["".join(rng.choice(string.ascii_letters) for _ in range(32)) for _ in range(200)]
+    names = ["getStationStatusFromProvider", "Donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement",
+             "stationidentifierconfiguration", "Kraftfahrzeughaftpflichtversicherung", "DATABASE_CONNECTION_STRING"]
+    found = by_id(find_secrets(records(spark, ["qXzKvBnMpLwRtYsDfGhJkLzXcVbNmQwE", *made, *names])))
+    assert [found[i].spans for i in range(201)] == ["random:0:32"] * 201
+    assert [found[i].spans for i in range(201, 201 + len(names))] == [""] * len(names)
+
+
+def test_megabytes_take_time_in_proportion():
+    unit = "token=abc123def456 q7Zp2LxW9vTbK4mNc8RdYh3s and station_status_2021_03_11_madrid, "
+    seconds = []
+    for size in (1, 4):
+        text = unit * (size * 1_250_000 // len(unit))
+        began = time.perf_counter()
+        assert len(random_spans(text, base_spans(text), tokens, MAX_CHARS_PER_TOKEN)) == text.count("q7Zp")
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 10 * seconds[0]
 
 
 def test_redaction(spark):
