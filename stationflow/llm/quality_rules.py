@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame
 from stationflow.llm import arrays as A
 from stationflow.llm.records import ID, TEXT, map_records, source_records
 
-# Largest share of a text's characters that may lie in repeated n-grams of each length, and in
-# repeated lines. Limits of 10 to 20 %, as published for web pages, reject short records for one
-# repeated line (0.8 % of the good ones here); the share of the base rule does not.
-NGRAM_LIMITS = dict.fromkeys((5, 6, 7, 8, 9, 10), 0.30)
-LINE_LIMIT = 0.30
+# Published limits for web pages, as the largest share of a text's characters that may
+# lie in repeated n-grams of each length, and in repeated lines. A copy counts, its original does not.
+NGRAM_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
+LINE_LIMIT = 0.20
+# Copies of fewer characters than this, about a sentence, are never too many: shares of short texts say little.
+MIN_REPEATED_CHARS = 100
 
 MIN_WORDS = 20
 WINDOW_WORDS = 8
@@ -36,6 +37,13 @@ def _again(keys: np.ndarray) -> np.ndarray:
     return twice[at] == keys
 
 
+def _copies(keys: np.ndarray) -> np.ndarray:
+    """Places whose key occurs at an earlier place."""
+    twice = np.flatnonzero(_again(keys))
+    _, first = np.unique(keys[twice], return_index=True)
+    return np.delete(twice, first)
+
+
 def _covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
     """True for each word inside one of the n-word windows that begin at `starts`."""
     steps = np.zeros(size + 1, np.int32)
@@ -56,7 +64,9 @@ def _lines(texts: A.Texts, words: A.Words) -> tuple[np.ndarray, ...]:
     return np.cumsum(first) - 1, doc, start, end
 
 
-def _measure(part: pa.RecordBatch, limits: tuple[tuple[int, float], ...], line_limit: float) -> pa.RecordBatch:
+def _measure(
+    part: pa.RecordBatch, limits: tuple[tuple[int, float], ...], line_limit: float, least: int
+) -> pa.RecordBatch:
     texts = A.texts_of(part.column(TEXT))
     words = A.words_of(texts)
     n_docs, n_words = part.num_rows, len(words.start)
@@ -69,28 +79,33 @@ def _measure(part: pa.RecordBatch, limits: tuple[tuple[int, float], ...], line_l
     hashes = A.word_hashes(texts, words)
     salt = A.mixed((words.doc.astype(np.uint64) + np.uint64(1)) * _DOC)
     lengths = dict(limits)
-    share = np.maximum(word_chars, 1)
     worst = np.zeros(n_docs)
     repeat_words = np.zeros(n_docs, np.int64)
+
+    def share(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each text's characters in the given words, as it is and as far as it counts."""
+        found = A.totals(words.doc[inside], n_docs, chars[inside].astype(float))
+        part_of = found / np.maximum(word_chars, 1)
+        return part_of, np.where(found >= least, part_of, 0.0)
+
     for n, rolled in A.rolled(hashes, max([WINDOW_WORDS, *lengths])):
         if n != WINDOW_WORDS and n not in lengths:
             continue
         whole = np.flatnonzero(A.in_one(words.doc, n))
-        found = whole[_again(A.mixed(rolled[whole]) ^ salt[whole])]
-        inside = _covered(found, n, n_words)
+        keys = A.mixed(rolled[whole]) ^ salt[whole]
         if n == WINDOW_WORDS:
+            inside = _covered(whole[_again(keys)], n, n_words)
             repeat_words = A.totals(words.doc[inside], n_docs)
         if n in lengths:
-            part_of = A.totals(words.doc[inside], n_docs, chars[inside].astype(float)) / share
-            worst = np.maximum(worst, part_of / lengths[n])
+            worst = np.maximum(worst, share(_covered(whole[_copies(keys)], n, n_words))[1] / lengths[n])
 
     line_of, line_doc, start, end = _lines(texts, words)
     keys = A.span_hashes(texts.data, start, end) ^ A.mixed((line_doc.astype(np.uint64) + np.uint64(1)) * _DOC)
-    _, at = np.unique(keys, return_index=True)
-    dup_lines = A.totals(line_doc, n_docs) - A.totals(line_doc[at], n_docs)
-    again = _again(keys)[line_of] if n_words else np.zeros(0, bool)
-    in_lines = A.totals(words.doc[again], n_docs, chars[again].astype(float)) / share
-    worst = np.maximum(worst, in_lines / line_limit)
+    copy = np.zeros(len(keys), bool)
+    copy[_copies(keys)] = True
+    dup_lines = A.totals(line_doc[copy], n_docs)
+    in_lines, counted = share(copy[line_of] if n_words else np.zeros(0, bool))
+    worst = np.maximum(worst, counted / line_limit)
 
     failed = (counts < MIN_WORDS) | (100 * repeat_words > WINDOW_PERCENT * counts)
     return pa.RecordBatch.from_arrays(
@@ -108,14 +123,17 @@ def repetition_report(
     records: DataFrame,
     ngram_limits: dict[int, float] | None = None,
     line_limit: float = LINE_LIMIT,
+    min_repeated_chars: int = MIN_REPEATED_CHARS,
 ) -> DataFrame:
     """Measure repetition in the `raw_text` of each source record and decide whether to keep it.
 
-    For every n of `ngram_limits`, rolling hashes of n words find the n-grams that occur twice or more
-    in the text; the characters of all words inside them, divided by the characters of all words, may
-    not exceed the limit. The same holds for characters in repeated lines and `line_limit`.
-    `worst_ratio` is the largest share over its limit; the record is kept at 1 or less, unless it has
-    under 20 words or over 30 % of its words in repeated 8-word windows (`base_failed`).
+    For every n of `ngram_limits`, rolling hashes of n words find the n-grams that occurred before in
+    the text; the characters of all words inside these copies, divided by the characters of all words,
+    may not exceed the limit. Longer n-grams cover no more than shorter ones, so limits fall with n
+    for each length to decide of its own. The same holds for characters in lines that occurred before
+    and `line_limit`. Copies of fewer than `min_repeated_chars` characters in all are not held against
+    a text. `worst_ratio` is the largest share over its limit; the record is kept at 1 or less, unless
+    it has under 20 words or over 30 % of its words in repeated 8-word windows (`base_failed`).
 
     One row per record, in one pass without a shuffle: `source_record_id`, `n_words`, `word_chars`,
     `n_symbols`, `n_dup_lines`, `n_repeat_words`, `line_coverage`, `worst_ratio`, `base_failed`,
@@ -127,7 +145,7 @@ def repetition_report(
     kind = df.schema[ID].dataType.simpleString()
     return map_records(
         df,
-        functools.partial(_measure, limits=limits, line_limit=line_limit),
+        functools.partial(_measure, limits=limits, line_limit=line_limit, least=min_repeated_chars),
         "id " + kind + ", n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint,"
         " n_repeat_words bigint, line_coverage double, worst_ratio double, base_failed boolean, kept boolean",
     ).withColumnRenamed("id", ID)
@@ -141,8 +159,9 @@ def good_records(
     records: DataFrame,
     ngram_limits: dict[int, float] | None = None,
     line_limit: float = LINE_LIMIT,
+    min_repeated_chars: int = MIN_REPEATED_CHARS,
 ) -> DataFrame:
     """The source records that `repetition_report` keeps, as `source_record_id` and `raw_text`, in one pass."""
     limits = tuple(sorted((ngram_limits or NGRAM_LIMITS).items()))
     df = source_records(records)
-    return map_records(df, functools.partial(_good, limits=limits, line_limit=line_limit), df.schema)
+    return map_records(df, functools.partial(_good, limits=limits, line_limit=line_limit, least=min_repeated_chars), df.schema)

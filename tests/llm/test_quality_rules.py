@@ -2,31 +2,35 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from record_tables import WORD, by_id, records
 
-from stationflow.llm.quality_rules import LINE_LIMIT, NGRAM_LIMITS, good_records, repetition_report
+from stationflow.llm.quality_rules import LINE_LIMIT, MIN_REPEATED_CHARS, NGRAM_LIMITS, good_records, repetition_report
 
 
 def brute(text):
     words = [(m.start(), m[0]) for m in WORD.finditer(text)]
     n = len(words)
 
-    def covered(size):
+    def covered(size, skipped=0):
         seen = {}
         for i in range(n - size + 1):
             seen.setdefault(tuple(w for _, w in words[i : i + size]), []).append(i)
-        return {j for at in seen.values() if len(at) > 1 for i in at for j in range(i, i + size)}
+        return {j for at in seen.values() if len(at) > 1 for i in at[skipped:] for j in range(i, i + size)}
+
+    def over(repeated, limit):
+        return repeated / max(chars, 1) / limit if repeated >= MIN_REPEATED_CHARS else 0
 
     chars = sum(len(w) for _, w in words)
     lines = [x for x in text.split("\n") if WORD.search(x)]
-    at, in_lines = 0, 0
+    in_lines, seen = 0, set()
     for line in text.split("\n"):
-        if lines.count(line) > 1:
+        if line in seen:
             in_lines += sum(len(w) for w in WORD.findall(line))
-        at += len(line) + 1
+        seen.add(line)
     worst = max(
-        [sum(len(words[j][1]) for j in covered(k)) / max(chars, 1) / limit for k, limit in NGRAM_LIMITS.items()]
-        + [in_lines / max(chars, 1) / LINE_LIMIT]
+        [over(sum(len(words[j][1]) for j in covered(k, 1)), limit) for k, limit in NGRAM_LIMITS.items()]
+        + [over(in_lines, LINE_LIMIT)]
     )
     repeats = len(covered(8))
     failed = n < 20 or 100 * repeats > 30 * n
@@ -61,3 +65,39 @@ def test_good_records_are_the_kept_ones(spark):
     df = records(spark, texts())
     kept = {r[0] for r in repetition_report(df).where("kept").select("source_record_id").collect()}
     assert {r[0] for r in good_records(df).collect()} == kept
+
+
+def with_copies(n, share, total=1500):
+    """Words of 8 letters: passages of n words that occur twice, `share` of all words being copies."""
+    copies = int(share * total) // n
+    fresh = iter(f"w{i:07d}" for i in range(total))
+    passages = [[next(fresh) for _ in range(n)] for _ in range(copies)]
+    words = [w for p in passages for w in [*p, next(fresh)]]
+    for p in passages:
+        words += [*p, next(fresh)]
+    return " ".join([*words, *(next(fresh) for _ in range(total - len(words)))])
+
+
+@pytest.mark.parametrize("n", sorted(NGRAM_LIMITS))
+def test_each_length_decides_of_its_own(spark, n):
+    # Just over the limit of n words and under that of n - 1; longer ones do not occur twice.
+    text = with_copies(n, NGRAM_LIMITS[n] + 0.009)
+    others = {k: v for k, v in NGRAM_LIMITS.items() if k != n}
+    assert not repetition_report(records(spark, [text])).first().kept
+    assert repetition_report(records(spark, [text]), ngram_limits=others).first().kept
+
+
+def test_lines_decide_of_their_own(spark):
+    # Four words a line are too few for any n-gram to lie in one line, and no two lines follow each other twice.
+    lines = [f"a{i:05d} b{i:05d} c{i:05d} d{i:05d}" for i in range(100)]
+    text = "\n".join([*lines, *(f"{x}\nz{i:05d}" for i, x in enumerate(lines[:40]))])
+    report = repetition_report(records(spark, [text])).first()
+    assert report.line_coverage > LINE_LIMIT and not report.kept
+    assert repetition_report(records(spark, [text]), line_limit=1.0).first().kept
+
+
+def test_one_repeated_sentence_is_no_fault_of_a_short_text(spark):
+    words = [f"word{i}" for i in range(80)]
+    text = " ".join([*words, "\n", *words[:12]])
+    assert repetition_report(records(spark, [text])).first().kept
+    assert not repetition_report(records(spark, [text]), min_repeated_chars=0).first().kept
