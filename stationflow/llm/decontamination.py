@@ -88,36 +88,46 @@ def build_index(items: list[tuple], q: int, edit_rate: float) -> Index:
     )
 
 
-def aligned(item: np.ndarray, text: np.ndarray, budget: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best place of `item` in `text`, if within `budget`; least edits, then first end.
+_OUTSIDE = np.uint32(0xFFFFFFFF)  # no code point
 
-    Edit distance with free ends in the text. Cells over the budget are dropped, so only a band remains.
+
+def aligned(
+    item: np.ndarray, text: np.ndarray, first: int, width: int, budget: int
+) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the best place of `item` in `text` within `width` diagonals from `first` on.
+
+    Edit distance with free ends in the text; None if over the budget. Cell k of row i ends at place
+    i + first + k of the text, so each row has `width` cells and the work is length times width,
+    however long the text is. Of equal places the first end wins.
     """
-    m, n = len(item), len(text)
-    big = budget + 1
-    at = np.arange(n + 1)
-    row, begin = np.zeros(n + 1, np.int64), at.copy()
+    m, n, big = len(item), len(text), budget + 1
+    at = np.arange(width)
+    begin = first + at
+    row = np.where((begin >= 0) & (begin <= n), 0, big)
+    # Places before and behind the text hold no code point; a path that reaches them never comes back.
+    low, high = max(first, 0), min(first + m + width, n)
+    padded = np.full(m + width, _OUTSIDE)
+    if low < high:
+        padded[low - first : high - first] = text[low:high]
     for i in range(m):
-        differs = (text != item[i]).astype(np.int64)
-        new, origin = np.empty(n + 1, np.int64), np.empty(n + 1, np.int64)
-        new[0], origin[0] = row[0] + 1, begin[0]
-        diagonal, up = row[:-1] + differs, row[1:] + 1
-        new[1:] = np.minimum(diagonal, up)
-        origin[1:] = np.where(diagonal <= up, begin[:-1], begin[1:])
-        # Insertions run along the row: least of new[j] + (k - j) for j <= k.
+        change = row + (padded[i : i + width] != item[i])
+        leave = np.append(row[1:] + 1, big)
+        new = np.minimum(change, leave)
+        origin = np.where(change <= leave, begin, np.append(begin[1:], 0))
+        # Insertions run along the row: least of new[k] + (j - k) for k <= j.
         shifted = new - at
         best = np.minimum.accumulate(shifted)
         source = np.maximum.accumulate(np.where(shifted == best, at, 0))
-        row, begin = best + at, origin[source]
+        row, begin = np.minimum(best + at, big), origin[source]
         if row.min() > budget:
             return None
-        row = np.minimum(row, big)
-    end = int(row.argmin())
-    return (int(row[end]), int(begin[end]), end) if row[end] <= budget else None
+    row = np.where(m + first + at <= n, row, big)
+    cell = int(row.argmin())
+    return (int(row[cell]), int(begin[cell]), m + first + cell) if row[cell] <= budget else None
 
 
-def _regions(text: np.ndarray, index: Index, q: int) -> Iterator[tuple[int, int, int]]:
-    """(item, from, to): stretches of the text that share enough q-grams with an item in one band."""
+def _regions(text: np.ndarray, index: Index, q: int) -> Iterator[tuple[int, int]]:
+    """(item, diagonal): bands of 2 * (budget + 1) diagonals, from this one on, that share enough q-grams with an item."""
     hashes = qgrams(text, q)
     at = np.flatnonzero(index.seen[(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
     if not len(at):
@@ -150,9 +160,7 @@ def _regions(text: np.ndarray, index: Index, q: int) -> Iterator[tuple[int, int,
             total[np.searchsorted(every, keys)] += count
             for k in every[total >= index.needed[every >> 40]].tolist():
                 n, b = k >> 40, k & ((1 << 40) - 1)
-                width = int(index.budget[n]) + 1
-                low = b * width - (1 << 32)
-                yield n, low - width, low + 2 * width + len(index.points[n]) + width
+                yield n, b * (int(index.budget[n]) + 1) - (1 << 32)
 
 
 def _search(part: pa.RecordBatch, index: Index, q: int) -> pa.RecordBatch | None:
@@ -170,26 +178,34 @@ def _search(part: pa.RecordBatch, index: Index, q: int) -> pa.RecordBatch | None
                 return
         rows.append((edits, begin, end))
 
-    for item, low, high in _regions(joined, index, q):
-        point = index.points[item]
-        low, high = max(low, 0), min(high, len(joined))
-        doc = int(np.searchsorted(start, min((low + high) // 2, len(joined) - 1), side="right")) - 1
-        for d in {doc, max(doc - 1, 0), min(doc + 1, len(start) - 1)}:
-            a, b = max(low, int(start[d])), min(high, int(start[d] + sizes[d]))
-            if b - a < len(point) - int(index.budget[item]):
+    for item, diagonal in _regions(joined, index, q):
+        point, budget = index.points[item], int(index.budget[item])
+        width = 2 * (budget + 1)
+        low, high = max(diagonal, 0), min(diagonal + width + len(point), len(joined))
+        # The texts that this band touches: one, or a few where they are shorter than the item.
+        from_doc, to_doc = np.searchsorted(start, [low, max(high - 1, low)], side="right") - 1
+        for d in range(int(from_doc), int(to_doc) + 1):
+            a = int(start[d])
+            text = joined[a : a + int(sizes[d])]
+            if min(high, a + len(text)) - max(low, a) < len(point) - budget:
                 continue
-            window = joined[a:b]
-            place = _exact(point, window)
-            got = (0, place, place + len(point)) if place >= 0 else aligned(point, window, int(index.budget[item]))
+            skip = max(low - a, 0)
+            place = _place(text[skip : max(high - a, 0)].tobytes(), point.tobytes())
+            if place >= 0:
+                got = (0, skip + place, skip + place + len(point))
+            else:
+                got = aligned(point, text, diagonal - a, width, budget)
             if got:
-                keep(d, item, got[0], a + got[1] - int(start[d]), a + got[2] - int(start[d]))
+                keep(d, item, *got)
+    raw = joined.tobytes() if index.short else b""
     for item in index.short:
-        point = index.points[item]
-        for d in range(len(start)):
-            text = joined[start[d] : start[d] + sizes[d]]
-            place = _exact(point, text)
-            if place >= 0:
-                keep(d, item, 0, place, place + len(point))
+        point, low = index.points[item], 0
+        while (place := _place(raw, point.tobytes(), low)) >= 0:  # the first place in each text that has one
+            d = int(np.searchsorted(start, place, side="right")) - 1
+            low = place + 1
+            if place + len(point) <= start[d] + sizes[d]:
+                keep(d, item, 0, place - int(start[d]), place - int(start[d]) + len(point))
+                low = int(start[d] + sizes[d])
     if not hits:
         return None
     ids = part.column(ID)
@@ -201,14 +217,12 @@ def _search(part: pa.RecordBatch, index: Index, q: int) -> pa.RecordBatch | None
     )
 
 
-def _exact(point: np.ndarray, window: np.ndarray) -> int:
-    """First place of `point` in `window`, or -1."""
-    raw, part, at = window.tobytes(), point.tobytes(), 0
-    while True:
-        at = raw.find(part, at)
-        if at < 0 or at % 4 == 0:
-            return at // 4 if at >= 0 else -1
-        at += 1
+def _place(raw: bytes, part: bytes, low: int = 0) -> int:
+    """First place of `part` in `raw` from `low` on, both four bytes a code point, or -1."""
+    at = raw.find(part, 4 * low)
+    while at >= 0 and at % 4:
+        at = raw.find(part, at + 1)
+    return at // 4 if at >= 0 else -1
 
 
 def _item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
@@ -236,9 +250,9 @@ def find_contamination(
     An item's edit budget is `edit_rate` of its length. By the q-gram lemma, a region within the
     budget shares at least length - q + 1 - budget * q character q-grams with the item, all on
     budget + 1 neighbouring diagonals. Shared q-grams are counted in overlapping bands of diagonals;
-    bands that reach the bound are aligned, with edit distance and free ends. A-Z are lower-cased
+    bands that reach the bound are aligned within their diagonals, by edit distance with free ends. A-Z are lower-cased
     and white space counts as spaces. Items shorter than q must occur as they are; empty ones are
-    ignored.
+    ignored. Whole items are met; half an item in a record is not.
 
     One row per region: `source_record_id`, `item_id`, `start`, `end` (code points), `edits`; records
     without any give none. The items are a stated query set: they are met in blocks of at most about

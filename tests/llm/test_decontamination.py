@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import random
+import time
 
 from record_tables import records
 
-from stationflow.llm.decontamination import EDIT_RATE, find_contamination, qgrams, uncontaminated_records, plain_points
+from stationflow.llm.decontamination import (
+    EDIT_RATE, aligned, find_contamination, plain_points, qgrams, uncontaminated_records,
+)
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz éñ"
 
@@ -66,3 +69,60 @@ def test_equal_windows_hash_alike():
     for q in (1, 3, 10, 13):
         h = qgrams(points, q)
         assert len(h) == len(points) - q + 1 and h[0] == h[17]
+
+
+def banded_distance(item, text, first, width):
+    """Least edits of `item` to a part of `text`, over paths that keep to the given diagonals."""
+    big = 10**6
+    cost = {}
+    for i in range(len(item) + 1):
+        for j in range(max(0, i + first), min(len(text), i + first + width - 1) + 1):
+            options = [0 if i == 0 else big]
+            if i and j:
+                options.append(cost.get((i - 1, j - 1), big) + (item[i - 1] != text[j - 1]))
+            if i:
+                options.append(cost.get((i - 1, j), big) + 1)
+            if j and i:
+                options.append(cost.get((i, j - 1), big) + 1)
+            cost[i, j] = min(options)
+    return min([c for (i, _), c in cost.items() if i == len(item)], default=big)
+
+
+def test_band_against_its_definition():
+    rng = random.Random(11)
+    for _ in range(400):
+        item = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 14)))
+        text = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 25)))
+        if rng.random() < 0.5:
+            p = rng.randrange(len(text) + 1)
+            text = text[:p] + item[: rng.randrange(len(item) + 1)] + "b" + item[rng.randrange(len(item)) :] + text[p:]
+        first, budget = rng.randrange(-6, 20), rng.randrange(0, 5)
+        width = 2 * (budget + 1)
+        got = aligned(plain_points(item), plain_points(text), first, width, budget)
+        least = banded_distance(item, text, first, width)
+        assert (got is not None) == (least <= budget), (item, text, first, budget)
+        if got:
+            edits, start, end = got
+            assert edits == least and 0 <= start <= end <= len(text)
+            assert banded_distance(item, text[start:end], first - start, width) == edits
+
+
+def test_work_grows_with_the_band_not_with_the_text():
+    rng = random.Random(12)
+    item = plain_points("".join(rng.choice(LETTERS) for _ in range(400)))
+    seconds = []
+    for size in (10_000, 5_000_000):
+        text = plain_points("x" * size)
+        text[size // 2 : size // 2 + 400] = item
+        text[size // 2 + 7] = 35
+        began = time.perf_counter()
+        assert aligned(item, text, size // 2 - 20, 50, 24) == (1, size // 2, size // 2 + 400)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 5 * seconds[0] + 0.05
+
+
+def test_separator_in_items_and_texts(spark):
+    known = ["ab\U0010ffffcd", "a question with a \U0010ffff sign about the demand at night", "\U0010ffff"]
+    texts = ["ab", "cd", "xab\U0010ffffcdx", "so: " + known[1] + "!", known[1][:18], known[1][19:]]
+    found = {tuple(r) for r in find_contamination(records(spark, texts), items(spark, known)).collect()}
+    assert found == {(2, 0, 1, 6, 0), (2, 2, 3, 4, 0), (3, 1, 4, 4 + len(known[1]), 0), (3, 2, 22, 23, 0)}
