@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -21,7 +22,7 @@ LABELS = ("other", *KINDS)
 TRAINING_RECORDS = 2000
 FEATURES = 4096
 MIN_PROBABILITY = 0.9
-SAME, DIFFERENT = 20.0, 0.25  # counts assumed before any skip edge is seen
+SKIP_PENALTY = 0.005  # on squared skip potentials, against the mean log-likelihood
 ROUNDS = 10
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -92,28 +93,37 @@ class Nodes:
             for i in keep
         ]
         self.chain = [(n, n + 1) for n in range(len(keep) - 1) if keep[n + 1] == keep[n] + 1]
+        # Tokens are disjoint and in order, so those that a span touches are neighbours.
         label = np.zeros(len(keep), np.int64)
+        starts, ends = [s for s, _ in self.span], [e for _, e in self.span]
         for s, k, e in base:
-            for n, (a, b) in enumerate(self.span):
-                if a < e and s < b:
-                    label[n] = k + 1
+            label[bisect_right(ends, s) : bisect_left(starts, e)] = k + 1
         self.base = label
 
-    def features(self) -> list[list[int]]:
-        """Hashed features of each node: length, character classes, digits, neighbours; never the word itself."""
+    def features(self, words: list[str] | None = None) -> list[list[int]]:
+        """Hashed features of each node: length, character classes, digits, neighbours; never the word itself.
+
+        `words` stand in for the nodes' own ones.
+        """
         out = []
-        for word, (before, after) in zip(self.word, self.near, strict=True):
+        for word, (before, after) in zip(words or self.word, self.near, strict=True):
             digits = sum(c.isdigit() for c in word)
-            shape = re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", re.sub("[0-9]+", "0", word)))[:24]
-            sizes = re.sub("[0-9]+", lambda m: str(len(m[0])), re.sub("[^0-9]+", ".", word))[:24]
+            shape = re.sub("[A-Z]+", "A", re.sub("[a-z]+", "a", re.sub("[0-9]+", "0", word)))
+            sizes = re.sub("[0-9]+", lambda m: str(len(m[0])), re.sub("[^0-9]+", ".", word))
+            number = re.sub("[ -]", "", word.strip(".,;:!?)(\"'"))
+            checked = 14 <= digits <= 19 and number.isdecimal() and number.isascii()
             names = (
-                "bias", f"shape {shape}", f"sizes {sizes}", f"digits {min(digits, 20)}", f"length {min(len(word), 30)}",
-                f"share {10 * digits // len(word)}", f"before {before[-12:]}", f"after {after[:12]}",
+                "bias", f"checksum {_luhn(number) if checked else None}", f"shape {shape}", f"sizes {sizes}", f"digits {min(digits, 20)}", f"length {min(len(word), 30)}",
+                f"share {10 * digits // len(word)}", f"before {before}", f"after {after}",
                 *(f"has {c}" for c in "@+.-()/:=%" if c in word),
             )
             out.append([xxhash.xxh32_intdigest(x) % FEATURES for x in names])
         return out
 
+    def masked(self) -> list[str]:
+        """The words without what marks a fixed form: an e-mail's host, a phone's plus sign."""
+        return [w.split("@")[0].strip("+(<[\"'") or w for w in self.word]
+
     def skips(self) -> list[tuple[int, int]]:
         """Edges between distant tokens that are equal up to punctuation, or share their long digit or name part.
 
@@ -122,7 +132,7 @@ class Nodes:
         last: dict[str, int] = {}
         edges = set()
         for n, (word, core) in enumerate(zip(self.word, self.core, strict=True)):
-            parts = {core, *(p for p in re.split(r"[^0-9A-Za-z]+", word.lower()) if len(p) >= 6)}
+            parts = {core, _NOT_ALNUM.sub("", word.split("@")[0]).lower(), *(p for p in re.split(r"[^0-9A-Za-z]+", word.lower()) if len(p) >= 6)}
             digits = re.sub("[^0-9]", "", word)
             if len(digits) >= 7:
                 parts |= {digits, digits[-7:]}
@@ -180,90 +190,132 @@ def _normal(score: np.ndarray) -> np.ndarray:
     return p / p.sum(axis=1, keepdims=True)
 
 
+_TRAINING = (
+    "order_key bigint, features array<int>, sizes array<int>, labels array<int>, chain array<int>, skip array<int>,"
+    " hidden array<int>, hidden_sizes array<int>, hidden_labels array<int>"
+)
+
+
 def _training_rows(part: pa.RecordBatch) -> pa.RecordBatch | None:
-    """Features, labels and edge label pairs of each record that holds a base span."""
+    """Of each record with a candidate token: node features and labels, label pairs of chain edges, skip edges, and
+    the features that the nodes in base spans have once their marks are hidden."""
     column = part.column(TEXT)
     rows = []
     for i in rows_matching(column, _HAS_CANDIDATE).tolist():
         text = column[i].as_py()
-        base = base_spans(text)
-        if not base:
-            continue
-        nodes = Nodes(text, base)
+        nodes = Nodes(text, base_spans(text))
         label, skips = nodes.base.copy(), nodes.skips()
         for a, b in skips:  # what repeats a fixed form may well be the same: it has no label
             if (nodes.base[a] > 0) != (nodes.base[b] > 0):
                 label[b if nodes.base[a] else a] = -1
-        edges = [(0, *e) for e in nodes.chain] + [(1, *e) for e in skips]
-        pairs = [(kind, int(label[a]), int(label[b])) for kind, a, b in edges if label[a] >= 0 and label[b] >= 0]
-        features = nodes.features()
-        flat = [x for f in features for x in f]
-        key = xxhash.xxh64_intdigest(text.encode()) >> 1
-        rows.append((key, flat, [len(f) for f in features], label.tolist(), [x for p in pairs for x in p]))
+        chain = [(int(label[a]), int(label[b])) for a, b in nodes.chain if label[a] >= 0 and label[b] >= 0]
+        skip = [(a, b) for a, b in skips if label[a] >= 0 and label[b] >= 0]
+        features, masked = nodes.features(), nodes.features(nodes.masked())
+        hidden = np.flatnonzero(nodes.base).tolist()
+        rows.append((
+            xxhash.xxh64_intdigest(text.encode()) >> 1,
+            [x for f in features for x in f], [len(f) for f in features], label.tolist(),
+            [x for p in chain for x in p], [x for p in skip for x in p],
+            [x for n in hidden for x in masked[n]], [len(masked[n]) for n in hidden], nodes.base[hidden].tolist(),
+        ))
     if not rows:
         return None
     columns = list(zip(*rows, strict=True))
     kind = pa.list_(pa.int32())
     return pa.RecordBatch.from_arrays(
         [pa.array(columns[0], pa.int64()), *(pa.array(c, kind) for c in columns[1:])],
-        ["order_key", "features", "sizes", "labels", "pairs"],
+        [f.split()[0] for f in _TRAINING.split(", ")],
     )
 
 
+def _sums(unary: np.ndarray, features: list[int], sizes: list[int]) -> np.ndarray:
+    """Score of each node: the sum of its features' weights."""
+    out = np.zeros((len(sizes), unary.shape[1]))
+    np.add.at(out, np.repeat(np.arange(len(sizes)), sizes), unary[features])
+    return out
+
+
+def _skip_potentials(score: np.ndarray, beside: np.ndarray, label: np.ndarray, steps: int) -> np.ndarray:
+    """Symmetric potentials that make `label` likeliest, given node scores and the counts of labels across skip edges."""
+    k = score.shape[1]
+    table, step, truth = np.zeros((k, k)), np.zeros((k, k)), np.eye(k)[label]
+    if not len(label):
+        return table
+    # Kinds weigh alike, however rare.
+    weight = 1.0 / np.bincount(label, minlength=k)[label]
+    weight /= weight.sum()
+    for _ in range(steps):
+        gap = (truth - _normal(score + beside @ table)) * weight[:, None]
+        slope = beside.T @ gap
+        slope = (slope + slope.T) / 2 - SKIP_PENALTY * table / k**2
+        step += slope**2
+        table += 0.5 * slope / (np.sqrt(step) + 1e-8)
+    return table
+
+
 def fit_field(records: DataFrame, max_records: int = TRAINING_RECORDS, steps: int = 300) -> Field:
-    """Train the field on the records that hold a fixed form, each kind's form being its label.
+    """Train the field on records with a digit or `@`, the kinds of fixed forms being the labels.
 
-    Piecewise training: node weights by multinomial logistic regression, edge potentials as smoothed
-    log ratios of label pairs over independence. Tokens outside a fixed form are `other`, but those
+    Piecewise training. Node weights come from a multinomial logistic regression, chain potentials are
+    smoothed log ratios of label pairs over independence. Skip potentials are learned on hidden fixed
+    forms: each is met again without what marks it (an e-mail without its host, a phone without its plus
+    sign), beside itself as it was, and the potentials must outweigh what its node alone says; tokens
+    that repeat other tokens are the counterpart. Tokens outside a fixed form are `other`, but those
     with a skip edge to one are left unlabelled. At most `max_records` distinct texts are used, those
-    with the smallest hash of the text; records without a fixed form are not needed. Without any such
-    record all weights are zero.
+    with the smallest hash of the text. Without any such record all weights are zero.
     """
     df = source_records(records).where(F.col(TEXT).rlike(_HAS_CANDIDATE))
-    rows = map_records(
-        df, _training_rows,
-        "order_key bigint, features array<int>, sizes array<int>, labels array<int>, pairs array<int>",
-    )
     # Copies hold the same key: one of each is enough. Keys are chosen first, rows once after.
-    rows = stored(rows, "field-training")
+    rows = stored(map_records(df, _training_rows, _TRAINING), "field-training")
     keys = rows.select("order_key").distinct().orderBy("order_key").limit(max_records)
     sample = rows.join(F.broadcast(keys), "order_key").dropDuplicates(["order_key"]).collect()
+    sample.sort(key=lambda r: r["order_key"])
     k = len(LABELS)
-    unary, tables = np.zeros((FEATURES, k)), np.ones((2, k, k))
-    tables[1] = DIFFERENT + (SAME - DIFFERENT) * np.eye(k)
-    y, owner, feature = [], [], []
-    for row in sorted(sample, key=lambda r: r["order_key"]):
+    unary, chain = np.zeros((FEATURES, k)), np.ones((k, k))
+    if not sample:
+        return Field(unary, np.zeros((k, k)), np.zeros((k, k)))
+    feature, sizes, y = [], [], []
+    for row in sample:
         known = np.array(row["labels"]) >= 0
-        of = np.repeat(np.arange(len(known)), row["sizes"])
-        owner += (np.cumsum(known) - 1 + len(y))[of[known[of]]].tolist()
+        feature += np.array(row["features"])[np.repeat(known, row["sizes"])].tolist()
+        sizes += np.array(row["sizes"])[known].tolist()
         y += np.array(row["labels"])[known].tolist()
-        feature += np.array(row["features"])[known[of]].tolist()
-        for kind, a, b in np.array(row["pairs"], np.int64).reshape(-1, 3).tolist():
-            tables[kind, a, b] += 1
-            if kind == 1:
-                tables[kind, b, a] += 1
-    if not y:
-        return Field(unary, np.zeros((k, k)), np.zeros((k, k)))
-    truth, owner, feature = np.eye(k)[y], np.array(owner), np.array(feature)
+        np.add.at(chain, tuple(np.array(row["chain"], np.int64).reshape(-1, 2).T), 1)
+    truth, owner, feature = np.eye(k)[y], np.repeat(np.arange(len(y)), sizes), np.array(feature)
     step = np.zeros_like(unary)
     for _ in range(steps):
-        score = np.zeros((len(y), k))
-        np.add.at(score, owner, unary[feature])
-        gap = (truth - _normal(score)) / len(y)
+        gap = (truth - _normal(_sums(unary, feature, sizes))) / len(y)
         slope = np.zeros_like(unary)
         np.add.at(slope, feature, gap[owner])
         slope -= 1e-4 * unary
         step += slope**2
         unary += 0.5 * slope / (np.sqrt(step) + 1e-8)
-    p = tables / tables.sum(axis=(1, 2), keepdims=True)
-    ratio = np.log(p / (p.sum(axis=2, keepdims=True) * p.sum(axis=1, keepdims=True)))
-    return Field(unary, ratio[0], np.clip(ratio[1], -6, 6))
+    p = chain / chain.sum()
+    ratio = np.log(p / (p.sum(axis=1, keepdims=True) * p.sum(axis=0, keepdims=True)))
+
+    score, beside, label = [np.zeros((0, k))], [np.zeros((0, k))], []
+    for row in sample:
+        if row["skip"]:
+            a, b = np.array(row["skip"], np.int64).reshape(-1, 2).T
+            of, near = np.zeros((len(row["labels"]), k)), np.array(row["labels"])
+            np.add.at(of, (a, near[b]), 1)
+            np.add.at(of, (b, near[a]), 1)
+            used = np.unique(np.concatenate([a, b]))
+            score.append(_sums(unary, row["features"], row["sizes"])[used])
+            beside.append(of[used])
+            label += near[used].tolist()
+        if row["hidden"]:
+            score.append(_sums(unary, row["hidden"], row["hidden_sizes"]))
+            beside.append(np.eye(k)[row["hidden_labels"]])
+            label += row["hidden_labels"]
+    skip = _skip_potentials(np.concatenate(score), np.concatenate(beside), np.array(label, np.int64), 3 * steps)
+    return Field(unary, ratio, skip)
 
 
 def added_spans(text: str, base: list[Span], field: Field, least: float = MIN_PROBABILITY) -> list[Span]:
     """Tokens outside base spans that the field gives a kind, joined where neighbours agree."""
     nodes = Nodes(text, base)
-    if not nodes.word or not (nodes.base > 0).any():
+    if not nodes.word:
         return []
     p = field.marginals(nodes)
     found: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -290,8 +342,6 @@ def _scan(part: pa.RecordBatch, field: Field, least: float) -> pa.RecordBatch:
     for i in rows_matching(column, _HAS_CANDIDATE).tolist():
         text = column[i].as_py()
         base = base_spans(text)
-        if not base:
-            continue
         kinds = [k for _, k, _ in base]
         more = added_spans(text, base, field, least)
         rows[i] = (*(kinds.count(k) for k in range(4)), joined(base, KINDS), joined(base + more, KINDS))
@@ -308,8 +358,8 @@ def find_personal_data(
 ) -> DataFrame:
     """Personal data in the `raw_text` of source records: e-mail, IP address, payment card, phone.
 
-    Fixed forms come first. In every text that has one, a skip-chain conditional random field labels
-    the tokens with a digit or `@`: neighbouring tokens share chain potentials, distant tokens that
+    Fixed forms come first. In every text a skip-chain conditional random field labels the tokens
+    with a digit or `@`: neighbouring tokens share chain potentials, distant tokens that
     repeat or resemble each other share skip potentials, fixed forms are observed, and loopy message
     passing carries their labels to the repetitions (a phone number without its prefix, a user name
     without its host). Tokens with a kind at `min_probability` or more add a span; base spans stay.

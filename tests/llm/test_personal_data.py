@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 from record_tables import by_id, records
@@ -72,6 +73,57 @@ def test_labels_spread_to_repetitions(spark):
     assert added_spans("Bike 44 left dock 12 at 10.", [], field) == []
 
 
+def rider_texts(rng, n):
+    """(text, repeated part) pairs: an e-mail, phone, address or card and, some words later, its part without marks."""
+    out = []
+    for i in range(n):
+        name = f"rider{rng.randrange(1000, 10**6)}.k{rng.randrange(10, 99)}"
+        phone = f"{rng.randrange(100, 999)}-{rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}"
+        address = ".".join(str(rng.randrange(1, 255)) for _ in range(4))
+        whole, part = [(f"{name}@mail{i % 7}.example.com", name), (f"+34-{phone}", phone), (address, address)][i % 3]
+        noise = " ".join(f"dock {rng.randrange(60)} had {rng.randrange(10**6)} trips" for _ in range(rng.randrange(1, 6)))
+        out.append((f"Contact {whole} today. {noise}. Order {rng.randrange(10**15, 10**16)} stays. ", part))
+    return out
+
+
+def test_hidden_repetitions_are_recalled(spark):
+    rng = random.Random(21)
+    field = fit_field(records(spark, [t for t, _ in rider_texts(rng, 600)]))
+    assert all(field.skip[k, k] > 0 for k in (1, 2, 4)) and np.allclose(field.skip, field.skip.T)
+    found = extra = 0
+    fresh = rider_texts(rng, 300)
+    for text, part in fresh:
+        whole = f"{text}Later {part} came back with bike {rng.randrange(3000)}."
+        at = whole.rindex(part)
+        spans = [(s, e) for s, _, e in [*base_spans(whole), *added_spans(whole, base_spans(whole), field)]]
+        found += any(s < at + len(part) and at < e for s, e in spans)
+        extra += len(added_spans(text, base_spans(text), field))
+    assert found >= 0.9 * len(fresh)
+    assert extra <= 0.05 * len(fresh)
+
+
+def test_texts_without_a_fixed_form_pass_through_the_field(spark):
+    k = len(KINDS) + 1
+    unary = np.zeros((4096, k))
+    unary[:, 4] = 5.0
+    found = by_id(find_personal_data(records(spark, ["ask 555-1234 there"]), Field(unary, np.zeros((k, k)), np.zeros((k, k)))))
+    assert found[0].spans == "phone:4:12" and found[0].n_phone == 0
+
+
+def test_megabytes_take_time_in_proportion(spark):
+    field = fit_field(records(spark, [t for t, _ in rider_texts(random.Random(5), 90)]))
+    unit = "the dock of the station was empty all night and nobody came by, " * 4 + "mail a.rider7@x.example.com or +34 600 123 456. "
+    seconds = []
+    for size in (1_250_000, 5_000_000):
+        text = unit * (size // len(unit))
+        began = time.perf_counter()
+        base = base_spans(text)
+        assert len(base) == 2 * (size // len(unit))
+        added_spans(text, base, field)
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 10 * seconds[0]
+
+
 def test_messages_are_exact_on_a_tree():
     rng = np.random.default_rng(2)
     k = len(KINDS) + 1
